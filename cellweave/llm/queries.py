@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import mixing, sharding, urls
+from cellweave.llm import decontam, media, mixing, quality, sharding, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op1_url_filters": urls.op1,
         "op3_sharding": sharding.op3,
         "op4_mixing": mixing.op4,
+        "op7_quality_classifier": quality.op7,
+        "op8_media_columns": media.op8,
+        "op10_decontamination": decontam.op10,
     }
 
 

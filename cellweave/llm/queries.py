@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cellweave.llm import decontam, media, mixing, quality, sharding, urls
+from cellweave.llm import decontam, jaccard, media, mixing, quality, sharding, urls
 
 
 def queries() -> dict:
     return {
         "op1_url_filters": urls.op1,
+        "op2_jaccard_join": jaccard.op2,
         "op3_sharding": sharding.op3,
         "op4_mixing": mixing.op4,
         "op7_quality_classifier": quality.op7,

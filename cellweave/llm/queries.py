@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import decontam, jaccard, media, mixing, quality, sharding, urls
+from cellweave.llm import decontam, jaccard, media, mixing, quality, sharding, substrings, urls
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mixing": mixing.op4,
         "op7_quality_classifier": quality.op7,
         "op8_media_columns": media.op8,
+        "op9_suffix_dedup": substrings.op9,
         "op10_decontamination": decontam.op10,
     }
 

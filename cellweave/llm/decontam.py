@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.arrow import map_batches
+from cellweave.llm.arrow import map_batches, small_batches
 from cellweave.llm.words import shingles, word_hashes
 
 #: Words of a seed; items up to these totals are broadcast as one index, larger benchmarks are taken in parts.
@@ -29,7 +29,6 @@ class Index:
             self.words.extend(h[b[k] : b[k + 1]] for k in range(len(b) - 1))
         key, item, place = [], [], []
         for k, w in enumerate(self.words):
-            # items of fewer words than a seed have their whole as one
             g, _ = shingles(w, np.array([0, len(w)]), seed)
             key.append(g)
             item.append(np.full(len(g), k))
@@ -76,33 +75,31 @@ def _grams(texts: pa.Array, seed: int):
         yield i, j, h, bounds, g, at
 
 
-def _frequencies(docs: DataFrame, index: Index) -> tuple[np.ndarray, int]:
+def _frequencies(docs: DataFrame, index: Index) -> np.ndarray:
     """In how many documents each seed of the benchmark stands, over all documents."""
     size = len(index.keys)
 
     def work(batches):
-        total, n = np.zeros(size, np.int64), 0
+        total = np.zeros(size, np.int64)
         for b in batches:
-            n += b.num_rows
             for i, j, _, _, g, at in _grams(b.column(0), index.seed):
                 pos, k = index.find(g)
                 if len(pos):
                     doc = np.searchsorted(at, pos, "right")
                     total += np.bincount(np.unique(doc * size + k) % size, minlength=size)
-        yield pa.RecordBatch.from_pydict({"n": [n], "k": pa.array([np.flatnonzero(total).astype(np.int32)], pa.list_(pa.int32())), "c": pa.array([total[total > 0]], pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict({"k": np.flatnonzero(total).astype(np.int32), "c": total[total > 0]})
 
-    got = docs.select("text").mapInArrow(work, "n long, k array<int>, c array<long>")
-    docs_n = 0
+    small_batches(docs.sparkSession)
     out = np.zeros(size, np.int64)
-    sums = got.select("n", F.explode(F.arrays_zip("k", "c")).alias("x")).groupBy("x.k").agg(F.sum("x.c").alias("c"))
-    for r in sums.collect():
+    for r in docs.select("text").mapInArrow(work, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
         out[r.k] = r.c
-    return out, docs_n
+    return out
 
 
-def align(docs: DataFrame, items: list[tuple[int, str | None]], threshold: float) -> DataFrame:
-    index = Index(items)
-    frequency, _ = _frequencies(docs, index)
+def align(docs: DataFrame, items: list[tuple[int, str | None]], threshold: float, seed: int = SEED) -> DataFrame:
+    """The documents' alignments with items that fit into one index, all of whose items have seed words at least."""
+    index = Index(items, seed)
+    frequency = _frequencies(docs, index)
     total = docs.count()
     rare = frequency <= max(RARE_LEAST, RARE_SHARE * total)
     # An item all of whose seeds are frequent keeps its rarest.
@@ -187,8 +184,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5)
         rows = benchmark.select("item_id", "text").where("text is not null")
         if parts > 1:
             rows = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        part = align(docs, sorted(((r.item_id, r.text) for r in rows.collect()), key=repr), threshold)
-        out = part if out is None else out.unionByName(part)
+        by_seed: dict[int, list] = {}
+        for item in sorted(((r.item_id, r.text) for r in rows.collect()), key=repr):
+            n = sum(len(h) for _, _, h, _ in word_hashes(pa.array([item[1]], pa.string())))
+            by_seed.setdefault(min(n, SEED), []).append(item)
+        by_seed.pop(0, None)
+        for n, items in sorted(by_seed.items()) or [(SEED, [])]:
+            part = align(docs, items, threshold, n)
+            out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -52,7 +52,7 @@ def _rake_frame(cells: DataFrame, power: float, rounds: int) -> DataFrame:
     return cells
 
 
-def mix(docs: DataFrame, power: float = 0.7, rounds: int = 25, seed: int = 1, topic: Column | None = None, driver_cells: int = DRIVER_CELLS, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, power: float = 0.9, rounds: int = 25, seed: int = 1, topic: Column | None = None, driver_cells: int = DRIVER_CELLS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, kept) of every document, and the columns keep.
 
     Each margin (source, language, topic) has as its target its token share to the power given, normalised. Tokens are
@@ -108,7 +108,7 @@ def op4(spark, sf_dir: str) -> DataFrame:
 _TOPIC_SQL = "case " + " ".join(f"when contains(coalesce(text, ''), '{mark}') then '{name}'" for name, mark in TOPICS) + " else 'prose' end"
 
 
-def mix_sql(power: float = 0.7, rounds: int = 25, seed: int = 1, table: str = "documents") -> str:
+def mix_sql(power: float = 0.9, rounds: int = 25, seed: int = 1, table: str = "documents") -> str:
     """The same by a recursive query: a round is three windows over the cells."""
     k = "k, source, lang, topic, tokens, ts, tl, tt"
     return rf"""

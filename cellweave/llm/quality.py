@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.arrow import map_batches
+from cellweave.llm.arrow import map_batches, small_batches
 from cellweave.llm.words import SPACE, text_bytes, word_hashes
 
 #: Labelled rows of each class that the fit uses at most, and the model's size.
@@ -202,3 +202,17 @@ def score(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFrame:
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def accepted(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, source, n_chars) whose score is threshold or more, unchanged."""
+
+    def work(batches):
+        for b in batches:
+            ptr, slots, values, stats = features(b.column(1), b.column(4))
+            margin = model.margins(*_joined(ptr, slots, values, stats, model.mean, model.scale)) if b.num_rows else np.zeros(0)
+            yield b.filter(pa.array(np.round(1 / (1 + np.exp(-np.clip(margin, -30, 30))), 6) >= threshold))
+
+    rows = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(work, rows.schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import decontam, jaccard, language, media, mixing, quality, sharding, substrings, urls
+from cellweave.llm import decontam, jaccard, language, media, mixing, quality, secrets, sharding, substrings, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_jaccard_join": jaccard.op2,
         "op3_sharding": sharding.op3,
         "op4_mixing": mixing.op4,
+        "op5_secret_scans": secrets.op5,
         "op6_language_model": language.op6,
         "op7_quality_classifier": quality.op7,
         "op8_media_columns": media.op8,

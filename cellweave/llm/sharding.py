@@ -57,7 +57,7 @@ def minimax_cuts(runs: list[tuple[int, int]], shards: int) -> tuple[int, list[in
         below = _jump(starts, sizes, counts, at, int(share))
         k = min(bisect_right(starts, below) - 1, len(sizes) - 1)
         above = min(below + sizes[k], total)
-        near = above if above - at - share <= share - (below - at) else below
+        near = above if below == at or above - at - share <= share - (below - at) else below
         options = [near, below, above, _jump(starts, sizes, counts, at, low)]
         at = next(x for x in options if x - at <= low and fits(low, x, left))
         cuts.append(at)

@@ -6,9 +6,11 @@ place in them. Consecutive windows that pick the same place are one suffix, whos
 bytes there and the hash of the whole span of the windows. Suffixes are range-partitioned by their leading tokens with
 sampled splitters, sorted in their bucket, and runs of equal tokens are compared across the boundaries of buckets.
 
-A suffix whose two tokens stand elsewhere is repeated as a whole. Where only the first token does, the windows are
-suffixes of their own, with the hashes of their two halves as tokens, and go through the same sort. Windows whose
-first token stands nowhere else cannot be repeated. Nothing is sampled but the splitters."""
+A suffix whose two tokens stand elsewhere is repeated as a whole. Where only the first token does, its windows are
+compared one by one with those of the suffixes of the same first token: their bytes come together by that token, and
+the hashes of the windows' halves are sorted. Where very many share a first token, the windows become suffixes of
+their own and go through the range-partitioned sort. Windows whose first token stands nowhere else cannot be repeated.
+Nothing is sampled but the splitters."""
 
 from __future__ import annotations
 
@@ -27,6 +29,8 @@ from cellweave.llm.words import _RANDOM, mix, powers, text_bytes
 GRAM = 50
 #: Bytes worked on at a time; positions must fit into 20 bits.
 PIECE = 1 << 19
+#: Suffixes of one first token up to which their bytes come together.
+TOGETHER = 5_000
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -197,44 +201,117 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
     )
     out = out.join(F.broadcast(across1), (F.col("t0") == F.col("x0")) & (F.col("t1") == F.col("x1")), "left")
     some = F.col("some") | (F.col("edge0") & F.col("t0").isin(across0)) if across0 else F.col("some")
-    return out.select("uid", "s", "n", some.alias("some"), (F.col("all") | F.col("x0").isNotNull()).alias("all"), "lead").where("some")
+    return out.select("uid", "s", "n", "t0", some.alias("some"), (F.col("all") | F.col("x0").isNotNull()).alias("all"), "lead").where("some")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def _windows_of(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, hash of the first half, of the second half) of every window of the parts data[at[i]:at[i + 1]]."""
+    total = _prefix_sums(data)
+    n = np.diff(at) - length + 1
+    part = np.repeat(np.arange(len(n)), n)
+    s = np.arange(len(part)) + np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+    return part, _hash(total, s, s + length // 2), _hash(total, s + length // 2, s + length)
+
+
+def _repeated(group: np.ndarray, h0: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    """Which rows have an equal (group, h0, h1)."""
+    k = multikey_order(h0, h1, group)
+    same = (h0[k][1:] == h0[k][:-1]) & (h1[k][1:] == h1[k][:-1]) & (group[k][1:] == group[k][:-1])
+    out = np.zeros(len(k), bool)
+    out[k[1:]] = same
+    out[k[:-1]] |= same
+    return out
+
+
+def _compared(rows: DataFrame, length: int) -> DataFrame:
+    """(uid, s, n): runs of n bytes under repeated windows, from rows (t0, uid, s, bytes) that come together by t0."""
+
+    def work(batches):
+        got = list(batches)
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        t0, uid, start = (t.column(c).combine_chunks().to_numpy() for c in ("t0", "uid", "s"))
+        data, off = text_bytes(t.column("bytes").combine_chunks())
+        size = np.diff(off)
+        order = np.argsort(t0, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = t0[order][1:] != t0[order][:-1]
+        bounds = np.append(np.flatnonzero(new), len(order))
+        at = 0
+        while at < len(bounds) - 1:
+            # whole groups, about PIECE bytes of them
+            reach = np.cumsum(size[order[bounds[at] :]])
+            to = at + 1
+            while to < len(bounds) - 1 and reach[bounds[to + 1] - bounds[at] - 1] <= PIECE:
+                to += 1
+            own = order[bounds[at] : bounds[to]]
+            ends = np.concatenate(([0], np.cumsum(size[own])))
+            pick = np.arange(ends[-1]) + np.repeat(off[own] - ends[:-1], size[own])
+            part, h0, h1 = _windows_of(data[pick], ends, length)
+            group = (np.cumsum(new[bounds[at] : bounds[to]]))[part]
+            hit = np.flatnonzero(_repeated(group, h0, h1))
+            at = to
+            if not len(hit):
+                continue
+            first = np.concatenate(([0], np.cumsum(size[own] - length + 1)))[:-1]
+            p, w = part[hit], hit - first[part[hit]]
+            head = np.ones(len(hit), bool)
+            head[1:] = (p[1:] != p[:-1]) | (w[1:] != w[:-1] + 1)
+            a = np.flatnonzero(head)
+            z = np.append(a[1:], len(hit)) - 1
+            yield pa.RecordBatch.from_pydict({"uid": uid[own[p[a]]], "s": start[own[p[a]]] + w[a], "n": (w[z] - w[a] + length).astype(np.int32)})
+
+    return rows.repartition(partitions(rows.sparkSession), "t0").mapInArrow(work, "uid long, s long, n int")
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, together: int = TOGETHER) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document, judged on UTF-8 bytes.
 
     A byte is removed when a string of length bytes that covers it also starts anywhere else, in the same document (with
     overlap) or another; strings never cross documents. n_spans counts maximal removed runs. Null text counts as empty.
     Rows of equal doc_id and text are documents that repeat one another; null ids are kept; an empty table gives no rows;
     other columns are not read."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
     found = written(suffixes(docs, length))
     judged = cut(sorted_buckets(found.where("kind = 0")))
     whole = judged.where("all").select("uid", "s", (F.col("n") + length - 1).alias("n"))
-    # Windows to compare one by one, and of every run of equal suffixes beside them one.
-    open_ = judged.where("not all or lead").groupBy("uid").agg(F.collect_set(F.struct("s", "n")).alias("runs"))
-
-    def windows(b: pa.RecordBatch):
-        uid, runs = b.column(0).to_numpy(), b.column(2)
+    # Suffixes to compare window by window, and of every run of equal suffixes beside them one.
+    asked = judged.where("not all or lead").select("uid", "s", "n", "t0").distinct()
+    crowd = asked.groupBy("t0").agg(F.count("*").alias("k")).where(F.col("k") > together).select(F.col("t0").alias("c0"))
+    asked = asked.join(crowd, F.col("t0") == F.col("c0"), "left")
+    runs = asked.groupBy("uid").agg(F.collect_list(F.struct("s", "n", "t0", F.col("c0").isNotNull().alias("crowd"))).alias("runs"))
+
+    def take(b: pa.RecordBatch):
+        uid, lists = b.column(0).to_numpy(), b.column(2)
         data, off = text_bytes(b.column(1))
+        out: dict[str, list] = {k: [] for k in ("uid", "s", "n", "t0", "crowd", "bytes")}
         for k in range(b.num_rows):
-            got = runs[k].as_py()
-            base = data[off[k] : off[k + 1]]
-            for at in range(0, len(got), 512):
-                parts = [[], [], []]
-                for r in got[at : at + 512]:
-                    s = np.arange(r["s"], r["s"] + r["n"])
-                    total = _prefix_sums(base[r["s"] : r["s"] + r["n"] - 1 + length])
-                    rel = s - r["s"]
-                    parts[0].append(s)
-                    parts[1].append(_hash(total, rel, rel + length // 2))
-                    parts[2].append(_hash(total, rel + length // 2, rel + length))
-                s, t0, t1 = (np.concatenate(x) for x in parts)
-                yield {"uid": np.full(len(s), uid[k]), "s": s, "n": np.ones(len(s), np.int32), "t0": t0.view(np.int64), "t1": t1.view(np.int64)}
-
-    single = written(map_batches(docs.join(open_, "uid").select("uid", "text", "runs"), windows, "uid long, s long, n int, t0 long, t1 long"))
-    repeated = sorted_buckets(single).where("all").select("uid", "s", F.lit(length).alias("n"))
+            own = data[off[k] : off[k + 1]]
+            for r in lists[k].as_py():
+                out["uid"].append(uid[k])
+                for c in ("s", "n", "t0", "crowd"):
+                    out[c].append(r[c])
+                out["bytes"].append(own[r["s"] : r["s"] + r["n"] - 1 + length].tobytes())
+            if len(out["uid"]) > 20_000 or k == b.num_rows - 1:
+                yield out
+                out = {c: [] for c in out}
+
+    taken = written(map_batches(docs.join(runs, "uid").select("uid", "text", "runs"), take, "uid long, s long, n int, t0 long, crowd boolean, bytes binary"))
+
+    def windows(b: pa.RecordBatch):
+        uid, start = b.column(0).to_numpy(), b.column(1).to_numpy()
+        data, off = text_bytes(b.column(2))
+        if b.num_rows:
+            part, h0, h1 = _windows_of(data, off, length)
+            first = np.concatenate(([0], np.cumsum(np.diff(off) - length + 1)))[:-1]
+            w = np.arange(len(part)) - first[part]
+            yield {"uid": uid[part], "s": start[part] + w, "n": np.ones(len(w), np.int32), "t0": h0.view(np.int64), "t1": h1.view(np.int64)}
+
+    repeated = _compared(taken.where("not crowd").select("t0", "uid", "s", "bytes"), length)
+    if crowd.limit(1).count():
+        single = written(map_batches(taken.where("crowd").select("uid", "s", "bytes"), windows, "uid long, s long, n int, t0 long, t1 long"))
+        repeated = repeated.union(sorted_buckets(single).where("all").select("uid", "s", F.lit(length).alias("n")))
     known = found.where("kind = 1").select("uid", "s", "n")
     spans = whole.union(repeated).union(known).groupBy("uid").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
 

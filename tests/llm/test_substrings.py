@@ -42,12 +42,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("piece", [substrings.PIECE, 700])
-def test_same_as_brute_force(spark, monkeypatch, piece):
-    monkeypatch.setattr(substrings, "PIECE", piece)
-    rows = corpus(piece)
+@pytest.mark.parametrize("together", [substrings.TOGETHER, 1])
+def test_same_as_brute_force(spark, together):
+    rows = corpus(together)
     docs = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, uid int, runs string")
-    assert sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=repr) == brute(rows, 200)
+    assert sorted(map(tuple, substrings.remove_repeats(docs, 200, together).collect()), key=repr) == brute(rows, 200)
 
 
 def test_empty_table(spark):
@@ -58,3 +57,11 @@ def test_multikey_order():
     rng = np.random.default_rng(1)
     a, b, c = (rng.integers(0, 5, 300) for _ in range(3))
     assert [(a[k], b[k], c[k]) for k in substrings.multikey_order(a, b, c)] == sorted(zip(a, b, c, strict=True))
+
+
+def test_texts_longer_than_a_piece(spark):
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdefgh"), 1_300_000))
+    docs = spark.createDataFrame([(1, long), (2, long[300_000:900_000]), (3, "-" * 40 + long[1_200_000:1_200_260])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.remove_repeats(docs).collect()}
+    assert got == {1: (1_300_000, 600_260, 2), 2: (600_000, 600_000, 1), 3: (300, 260, 1)}

@@ -94,3 +94,19 @@ def downsampled(counts: DataFrame, cell: str, item: str, total: int, seed: int =
     h = F.md5(F.concat_ws(":", F.col(cell).cast("string"), F.col(item).cast("string"), F.col("_k").cast("string"), F.lit(str(seed))))
     picked = one.withColumn("_r", F.row_number().over(Window.partitionBy(cell).orderBy(h))).where(F.col("_r") <= total)
     return picked.groupBy(cell, item).agg(F.count("*").alias("n"))
+
+
+# The tags by which a demultiplexer marks trimmed reads.
+TRIM_TAGS = ("a1", "eB", "A2", "EB")
+
+
+def by_value(reads: DataFrame, c: str, *by: str, missing: str | None = None) -> DataFrame:
+    """Reads by the value of a tag (reasons of rejection, data types, alleles); missing names the nulls, else they stay."""
+    value = F.col(c) if missing is None else F.coalesce(F.col(c), F.lit(missing))
+    return reads.groupBy(*by, value.alias(c)).agg(F.count("*").alias("n"))
+
+
+def trimmed(reads: DataFrame) -> DataFrame:
+    """Reads that carry any of the trimming tags, each mate for itself, and all reads."""
+    has = F.coalesce(F.arrays_overlap(F.map_keys("tags"), F.array(*[F.lit(t) for t in TRIM_TAGS])), F.lit(False))
+    return reads.agg(F.coalesce(_n(has), F.lit(0)).alias("trimmed"), F.count("*").alias("reads"))

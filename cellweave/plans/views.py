@@ -43,8 +43,27 @@ BLACKLIST = """
 SELECT 'chr' || CAST(s_suppkey % 5 + 1 AS VARCHAR(20)) AS contig, (s_suppkey * 977) % 100000 AS b_start, (s_suppkey * 977) % 100000 + 150 AS b_end FROM supplier
 """
 
-VIEWS = {"reads": READS, "features": FEATURES, "contigs": CONTIGS, "blacklist": BLACKLIST}
-_TABLES = {"reads": "lineitem", "features": "part", "contigs": "region", "blacklist": "supplier"}
+_LENGTH = "CASE cigar WHEN '20M2I10M' THEN 32 WHEN '5S30M' THEN 35 WHEN '30M4S' THEN 34 ELSE 40 END"
+
+#: Reads with sequences and qualities.
+SEQUENCED = f"""
+SELECT *, substr(repeat('ACGTTGCACCGGTA', 5), CAST(1 + read_index % 14 AS INT), {_LENGTH}) AS seq, substr(repeat('IIFF5#:B', 8), CAST(1 + read_index % 8 AS INT), {_LENGTH}) AS qual
+FROM ({READS}) AS r
+"""
+
+GENOME = """
+SELECT 'chr' || CAST(r_regionkey + 1 AS VARCHAR(20)) AS contig, substr(repeat('CGATTCAGCCGTACCTGAA', 6000), CAST(1 + r_regionkey AS INT), 100000) AS seq FROM region
+"""
+
+VARIANTS = """
+SELECT 'S' || CAST(p_partkey % 7 AS VARCHAR(20)) AS sample, 'chr' || CAST(p_partkey % 5 + 1 AS VARCHAR(20)) AS contig, (p_partkey * 53) % 100000 AS pos,
+  substr('ACGT', CAST(1 + p_size % 4 AS INT), 1) AS ref, substr('CGTA', CAST(1 + p_partkey % 4 AS INT), 1) AS alt,
+  substr('GATTACACCGTA', CAST(1 + p_partkey % 10 AS INT), 1) || substr('ACGT', CAST(1 + p_size % 4 AS INT), 1) || substr('TGCATTGC', CAST(1 + p_size % 8 AS INT), 1) AS around
+FROM part
+"""
+
+VIEWS = {"sequenced": SEQUENCED, "genome": GENOME, "variants": VARIANTS, "reads": READS, "features": FEATURES, "contigs": CONTIGS, "blacklist": BLACKLIST}
+_TABLES = {"sequenced": "lineitem", "genome": "region", "variants": "part", "reads": "lineitem", "features": "part", "contigs": "region", "blacklist": "supplier"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ SYMBOLS = ("z", "Z", "x", "X", "h", "H")
 FLANK = 2
 
 
-def reference_chunks(genome: DataFrame, width: int = 1 << 16, halo: int = 1 << 12) -> DataFrame:
+def reference_chunks(genome: DataFrame, width: int = 1 << 13, halo: int = 1 << 12) -> DataFrame:
     """(contig, chunk, ref_start, ref_seq) of a genome (contig, seq): pieces of width bases and halo more on either side.
 
     An empty or null sequence gives no rows."""
@@ -28,10 +28,16 @@ def reference_chunks(genome: DataFrame, width: int = 1 << 16, halo: int = 1 << 1
     )
 
 
-def with_reference(reads: DataFrame, chunks: DataFrame, width: int = 1 << 16) -> DataFrame:
-    """Reads with the chunk that holds their start; null where the genome lacks it. Bases past the halo have no reference."""
+def with_reference(reads: DataFrame, chunks: DataFrame, width: int = 1 << 13) -> DataFrame:
+    """Reads with the reference from FLANK bases before their start to FLANK after their end (ref_start, ref_seq), cut from the
+    chunk that holds their start; null where the genome lacks it. Bases past the halo have no reference.
+
+    The chunk is cut right after the join, so that what follows carries a few dozen bases a read."""
     at = reads.withColumn("chunk", F.floor(F.col("start_") / width))
-    return at.join(chunks, ["contig", "chunk"], "left").drop("chunk")
+    first = F.greatest(F.col("ref_start"), F.col("start_").cast("long") - FLANK)
+    end = F.col("start_").cast("long") + F.coalesce(S.cigar_total(F.col("cigar"), "MDN=X"), F.lit(0)) + FLANK
+    piece = F.substr("ref_seq", (first - F.col("ref_start") + 1).cast("int"), (end - first).cast("int"))
+    return at.join(chunks, ["contig", "chunk"], "left").withColumns({"ref_start": first, "ref_seq": piece}).drop("chunk")
 
 
 def aligned_bases(reads: DataFrame, *keep: str) -> DataFrame:

@@ -62,12 +62,12 @@ def primer_histogram(spark, d):
 
 @q(
     "reaction_sizes",
-    """WITH m AS (SELECT sm, contig, count(DISTINCT rx) AS reactions, avg(end_ - start_) AS s FROM reads WHERE NOT unmapped GROUP BY sm, contig)
+    """WITH m AS (SELECT sm, gn, count(DISTINCT rx) AS reactions, avg(end_ - start_) AS s FROM reads WHERE NOT unmapped GROUP BY sm, gn)
  SELECT reactions, count(*) AS molecules, round(avg(s), 6) AS mean_size FROM m GROUP BY reactions""",
     "reads",
 )
 def reaction_sizes(spark, d):
-    out = R.reaction_sizes(view(spark, d, "reads").where("not unmapped"), ["sm", "contig"], "rx", F.col("end_") - F.col("start_"))
+    out = R.reaction_sizes(view(spark, d, "reads").where("not unmapped"), ["sm", "gn"], "rx", F.col("end_") - F.col("start_"))
     return out.withColumn("mean_size", F.round("mean_size", 6))
 
 
@@ -111,12 +111,12 @@ def track_difference(spark, d):
 
 @q(
     "pair_filter",
-    """WITH k AS (SELECT query_name FROM sequenced GROUP BY query_name HAVING min(mapq) >= 5 AND max(mapq) > 0 AND NOT bool_or(regexp_matches(seq, 'AAA|CCC|GGG|TTT')))
+    """WITH k AS (SELECT query_name FROM sequenced GROUP BY query_name HAVING min(mapq) >= 20 AND max(mapq) > 0 AND NOT bool_or(regexp_matches(seq, 'AAA|CCC|GGG|TTT')))
  SELECT read_index, query_name, mapq FROM sequenced WHERE query_name IN (SELECT query_name FROM k)""",
     "sequenced",
 )
 def pair_filter(spark, d):
-    return R.pair_filter(view(spark, d, "sequenced"), 5, homopolymer=3).select("read_index", "query_name", "mapq")
+    return R.pair_filter(view(spark, d, "sequenced"), 20, homopolymer=3).select("read_index", "query_name", "mapq")
 
 
 @q(

@@ -16,7 +16,8 @@ _WALK = """bases AS (SELECT * FROM (SELECT r.*, i, substr(r.seq, CAST(i + 1 AS I
  CASE WHEN cigar = '20M2I10M' AND i < 20 THEN start_ + i WHEN cigar = '20M2I10M' AND i >= 22 THEN start_ + i - 2 WHEN cigar = '5S30M' AND i >= 5 THEN start_ + i - 5
   WHEN cigar = '30M4S' AND i < 30 THEN start_ + i WHEN cigar = '40M' THEN start_ + i END AS pos
  FROM sequenced r, range(40) t(i) WHERE i < length(r.seq)) WHERE pos IS NOT NULL)"""
-_CALLS = f"""{_WALK}, around AS (SELECT b.*, CASE WHEN pos >= 2 AND pos + 2 < 100000 THEN substr(g.seq, CAST(pos - 1 AS INT), 5) END AS a FROM bases b JOIN genome g USING (contig)),
+_CALLS = f"""{_WALK}, pieces AS (SELECT contig AS g_contig, k, greatest(k * 1000 - 2, 0) AS g_start, substr(seq, CAST(greatest(k * 1000 - 2, 0) + 1 AS INT), 1010) AS g_seq FROM genome, range(101) t(k)),
+ around AS (SELECT b.*, CASE WHEN pos >= 2 AND pos + 2 < 100000 THEN substr(g_seq, CAST(pos - 1 - g_start AS INT), 5) END AS a FROM bases b LEFT JOIN pieces ON g_contig = contig AND k = CAST(floor(pos / 1000.0) AS BIGINT)),
  three AS (SELECT *, CASE WHEN is_reverse THEN reverse(translate(substr(a, 1, 3), 'ACGT', 'TGCA')) ELSE substr(a, 3, 3) END AS t FROM around),
  kinds AS (SELECT *, CASE WHEN t LIKE 'CG%' THEN 'z' WHEN regexp_matches(t, '^C[ACT]G') THEN 'x' WHEN regexp_matches(t, '^C[ACT][ACT]') THEN 'h' END AS k FROM three),
  symbols AS (SELECT *, coalesce(CASE WHEN base = CASE WHEN is_reverse THEN 'A' ELSE 'T' END THEN upper(k) WHEN base = CASE WHEN is_reverse THEN 'G' ELSE 'C' END THEN k END, '.') AS symbol FROM kinds)"""

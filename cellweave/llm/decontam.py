@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores decide."""
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores decide."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ SEED = 3
 ITEMS_PER_PART = 20_000
 WORDS_PER_PART = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: A seed is rare when no more than this share of the documents holds it, or so many documents at least.
-RARE_SHARE, RARE_LEAST = 0.002, 50
+#: Words of the windows that are scored together, at most (a single window may be longer).
+WORDS_TOGETHER = 200_000
 
 
 class Index:
@@ -42,6 +42,11 @@ class Index:
         self.seed = seed
         self.mask = np.zeros(1 << 20, bool)
         self.mask[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        words = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
+        self.vocabulary, code = np.unique(words, return_inverse=True)
+        own = np.repeat(np.arange(len(self.words)), self.sizes) * len(self.vocabulary) + code
+        self.of_item, self.times = np.unique(own, return_counts=True)
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in grams of those that are seeds, and which."""
@@ -51,6 +56,17 @@ class Index:
         ok = self.keys[k] == grams[at] if len(self.keys) else np.zeros(len(at), bool)
         return at[ok], k[ok]
 
+    def bounds(self, items: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
+        """What the score of each window with its item is at most: a match for each item word that the window holds."""
+        words, which = np.concatenate(windows), np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+        code = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        ok = self.vocabulary[code] == words
+        which, own = which[ok], items[which[ok]] * len(self.vocabulary) + code[ok]
+        at = np.minimum(np.searchsorted(self.of_item, own), len(self.of_item) - 1)
+        ok = self.of_item[at] == own
+        held = np.unique(which[ok] * len(self.of_item) + at[ok])
+        return MATCH * np.bincount(held // len(self.of_item), self.times[held % len(self.of_item)], len(windows)).astype(np.int64)
+
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
     """The best local score of two word sequences, one row of numpy per word of a.
@@ -68,6 +84,48 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
+def smith_waterman_many(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """smith_waterman of each pair, over all pairs at once; what fills up the shorter ones matches nothing."""
+    n, m = max(len(x) for x in a), max(len(x) for x in b)
+    left, is_left = np.zeros((len(a), n), np.uint64), np.zeros((len(a), n), bool)
+    right, is_right = np.zeros((len(b), m), np.uint64), np.zeros((len(b), m), bool)
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        left[k, : len(x)], is_left[k, : len(x)] = x, True
+        right[k, : len(y)], is_right[k, : len(y)] = y, True
+    slope = (-GAP * np.arange(m + 1)).astype(np.int32)
+    row, best = np.zeros((len(a), m + 1), np.int32), np.zeros(len(a), np.int32)
+    for r in range(n):
+        hit = np.where((right == left[:, r, None]) & is_right & is_left[:, r, None], np.int32(MATCH), np.int32(MISMATCH))
+        new = np.zeros_like(row)
+        new[:, 1:] = np.maximum(np.maximum(row[:, :-1] + hit, row[:, 1:] + np.int32(GAP)), 0)
+        row = np.maximum.accumulate(new + slope, axis=1) - slope
+        best = np.maximum(best, row.max(axis=1))
+    return best
+
+
+def _scores(index: Index, items: np.ndarray, windows: list[np.ndarray], threshold: float, known: dict[bytes, int]) -> np.ndarray:
+    """The Smith-Waterman score of each window with its item, or -1 where it provably stays under the threshold."""
+    out = np.full(len(windows), -1, np.int64)
+    asked: dict[bytes, list[int]] = {}
+    for k in np.flatnonzero(index.bounds(items, windows) / (MATCH * index.sizes[items]) >= threshold):
+        key = int(items[k]).to_bytes(4, "little") + windows[k].tobytes()
+        if key in known:
+            out[k] = known[key]
+        else:
+            asked.setdefault(key, []).append(k)
+    # windows of like length together, so that little is filled up
+    order = sorted(asked.items(), key=lambda x: len(x[0]))
+    while order:
+        longest, n = len(windows[order[-1][1][0]]), len(order)
+        now, order = order[-max(1, WORDS_TOGETHER // longest) :], order[: max(0, n - max(1, WORDS_TOGETHER // longest))]
+        got = smith_waterman_many([index.words[items[w[0]]] for _, w in now], [windows[w[0]] for _, w in now])
+        for (key, w), s in zip(now, got.tolist(), strict=True):
+            out[w] = s
+            if len(known) < 20_000:
+                known[key] = s
+    return out
+
+
 def _grams(texts: pa.Array, seed: int):
     """(text, its words, its n-grams) of every text."""
     for i, j, h, bounds in word_hashes(texts):
@@ -75,39 +133,9 @@ def _grams(texts: pa.Array, seed: int):
         yield i, j, h, bounds, g, at
 
 
-def _frequencies(docs: DataFrame, index: Index) -> np.ndarray:
-    """In how many documents each seed of the benchmark stands, over all documents."""
-    size = len(index.keys)
-
-    def work(batches):
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for i, j, _, _, g, at in _grams(b.column(0), index.seed):
-                pos, k = index.find(g)
-                if len(pos):
-                    doc = np.searchsorted(at, pos, "right")
-                    total += np.bincount(np.unique(doc * size + k) % size, minlength=size)
-        yield pa.RecordBatch.from_pydict({"k": np.flatnonzero(total).astype(np.int32), "c": total[total > 0]})
-
-    small_batches(docs.sparkSession)
-    out = np.zeros(size, np.int64)
-    for r in docs.select("text").mapInArrow(work, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
-        out[r.k] = r.c
-    return out
-
-
 def align(docs: DataFrame, items: list[tuple[int, str | None]], threshold: float, seed: int = SEED) -> DataFrame:
     """The documents' alignments with items that fit into one index, all of whose items have seed words at least."""
     index = Index(items, seed)
-    frequency = _frequencies(docs, index)
-    total = docs.count()
-    rare = frequency <= max(RARE_LEAST, RARE_SHARE * total)
-    # An item all of whose seeds are frequent keeps its rarest.
-    for k in range(len(index.ids)):
-        own = np.unique(np.repeat(np.arange(len(index.keys)), np.diff(index.first))[index.item == k])
-        if len(own) and not rare[own].any():
-            rare[own[frequency[own] == frequency[own].min()]] = True
-    index_rare = rare
 
     def work(b: pa.RecordBatch):
         out: dict[str, list] = {"doc_id": [], "item_id": [], "score": [], "first_word": [], "last_word": []}
@@ -115,8 +143,6 @@ def align(docs: DataFrame, items: list[tuple[int, str | None]], threshold: float
         ids = b.column(0)
         for i, j, h, bounds, g, at in _grams(b.column(1), index.seed):
             pos, k = index.find(g)
-            keep = index_rare[k]
-            pos, k = pos[keep], k[keep]
             if not len(pos):
                 continue
             # every (seed in the text, place in an item)
@@ -128,13 +154,24 @@ def align(docs: DataFrame, items: list[tuple[int, str | None]], threshold: float
             item, start = index.item[e], word - index.place[e]
             order = np.lexsort((start, item, doc))
             doc, item, start = doc[order], item[order], start[order]
-            size = np.array([len(w) for w in index.words])[item]
+            size = index.sizes[item]
             # one window for starts that lie within an item's length of each other
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[1:])
             heads = np.flatnonzero(new)
             tails = np.append(heads[1:], len(doc)) - 1
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
+            held: list[tuple[int, int, int, int, np.ndarray]] = []
+            total = 0
+
+            def score_held(held=held, best=best) -> None:
+                q = np.array([x[1] for x in held], np.int64)
+                for (d, q, a, z, _), s in zip(held, _scores(index, q, [x[4] for x in held], threshold, known).tolist(), strict=True):
+                    score = s / (MATCH * len(index.words[q]))
+                    if s >= 0 and score > best.get((d, q), (-1.0,))[0]:
+                        best[d, q] = (score, a, z)
+                held.clear()
+
             for f, t in zip(heads, tails, strict=True):
                 d, q = int(doc[f]), int(item[f])
                 text = h[bounds[d] : bounds[d + 1]]
@@ -142,18 +179,15 @@ def align(docs: DataFrame, items: list[tuple[int, str | None]], threshold: float
                 lo, hi = max(0, int(start[f]) - slack), min(len(text), int(start[t]) + int(size[f]) + slack)
                 for a in range(lo, hi, 4096):  # windows of bounded length that overlap by more than an item
                     z = min(hi, a + 4096 + 2 * int(size[f]) + slack)
-                    window = text[a:z]
-                    key = q.to_bytes(4, "little") + window.tobytes()
-                    s = known.get(key)
-                    if s is None:
-                        s = smith_waterman(index.words[q], window)
-                        if len(known) < 20_000:
-                            known[key] = s
-                    score = s / (MATCH * len(index.words[q]))
-                    if score > best.get((d, q), (-1.0,))[0]:
-                        best[d, q] = (score, a, z)
+                    held.append((d, q, a, z, text[a:z]))
+                    total += z - a
+                    if total >= 5 * WORDS_TOGETHER:
+                        score_held()
+                        total = 0
                     if z == hi:
                         break
+            if held:
+                score_held()
             for (d, q), (s, lo, hi) in best.items():
                 if s >= threshold:
                     out["doc_id"].append(ids[i + d].as_py())
@@ -171,9 +205,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5)
 
     score is the Smith-Waterman score of words (match 2, mismatch -1, gap -1) over twice the item's words, so that 1 is
     the whole item; rows of at least threshold return, one for each document row and item, with the words of the window
-    that was aligned. Seeds are the item's runs of three words (the whole item when it is shorter) that at most 0.2 % of
-    the documents hold, or 50 documents; an item whose seeds are all more frequent keeps its least frequent ones. Their
-    frequencies are counted over all documents. The benchmark is checked for its size and taken in parts that fit.
+    was aligned. Seeds are the item's runs of three words (the whole item when it is shorter), each of which leads to an
+    alignment however many documents hold it; a window is left out only when it holds too few of the item's words to reach
+    the threshold. The benchmark is checked for its size and taken in parts that fit.
 
     Null or empty texts and items match nothing; null ids stay null; repeated documents repeat; empty tables give no rows;
     other columns are not read."""

@@ -54,3 +54,33 @@ def test_common_passages_keep_their_rarest_seeds(spark):
     docs = spark.createDataFrame([(i, f"a{i} {text} b{i}") for i in range(300)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
     assert decontam.contaminated(docs, bench).count() == 300
+
+
+def test_many_scores_at_once():
+    rng = np.random.default_rng(8)
+    a = [rng.integers(0, 6, rng.integers(1, 14)).astype(np.uint64) for _ in range(80)]
+    b = [rng.integers(0, 6, rng.integers(1, 25)).astype(np.uint64) for _ in range(80)]
+    want = [brute_score(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)]
+    assert decontam.smith_waterman_many(a, b).tolist() == want
+    index = decontam.Index([])
+    index.words, index.sizes = a, np.array([len(x) for x in a])
+    index.vocabulary = np.arange(6, dtype=np.uint64)
+    index.of_item, index.times = np.unique(np.concatenate([k * 6 + x.astype(np.int64) for k, x in enumerate(a)]), return_counts=True)
+    assert (index.bounds(np.arange(80), b) >= want).all()
+
+
+def test_edited_copies_of_a_common_passage(spark):
+    """Copies with one edit in common hold only seeds that many documents hold; so do edited copies beside many exact ones."""
+    words = [f"d{k}" for k in range(40)]
+    same = [*words[:20], "edit", *words[21:]]
+    rows = [(i, f"a{i} {' '.join(same)} b{i}") for i in range(400)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.score) for r in got) == [(i, round(77 / 80, 6)) for i in range(400)]
+    rows = [(i, f"a{i} {' '.join(words)} b{i}") for i in range(1000)]
+    for i in range(1000, 1050):
+        w = list(words)
+        w[5 + i % 30] = "edit"
+        rows.append((i, f"a{i} {' '.join(w)} b{i}"))
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.score) for r in got) == [(i, 1.0 if i < 1000 else round(77 / 80, 6)) for i in range(1050)]

@@ -28,8 +28,10 @@ def _any(words: str) -> str:
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """(key, word, candidate, raw, before, after, path): every whitespace-separated word that holds a candidate, with the two
-    words before and the one after. word is the place in the text, from 0. Null texts have none."""
+    """(key, word, nth, candidate, raw, before, after, path): every candidate of every whitespace-separated word, with the two
+    words before and the one after. word is the place in the text and nth the place among the word's candidates, from 0. raw is
+    the candidate with the text between it and its neighbours in the word; a name after it belongs to the next one. Null
+    texts have none."""
     rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path"), F.col(text).alias("_text")).where(F.col("_text").rlike(CANDIDATE))
     words = F.split(F.trim(F.regexp_replace("_text", _SPLIT, " ")), " ")
 
@@ -47,8 +49,12 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
     # The words are bound to a lambda's variable, so that they are split once and not for every element.
     hits = F.get(F.transform(F.array(words), found), F.lit(0))
-    out = rows.select(key, F.col("_path").alias("path"), F.explode(hits).alias("h"))
-    return out.select(key, F.col("h.word").alias("word"), F.regexp_extract("h.raw", CANDIDATE, 0).alias("candidate"), F.col("h.raw").alias("raw"), F.col("h.before").alias("before"), F.col("h.after").alias("after"), "path")
+    out = rows.select(key, F.col("_path").alias("path"), F.explode(hits).alias("h")).select("*", F.regexp_extract_all("h.raw", F.lit(CANDIDATE), F.lit(0)).alias("_c"), F.split("h.raw", CANDIDATE, -1).alias("_between"))
+    each = F.arrays_zip(F.col("_c").alias("c"), F.col("_between").alias("left"), F.slice("_between", F.lit(2), F.size("_c")).alias("right"))
+    out = out.select(key, "path", "h", F.size("_c").alias("_n"), F.posexplode(each).alias("nth", "m")).where("m.c is not null")
+    right = F.when(F.col("nth") + 1 < F.col("_n"), F.regexp_extract("m.right", "^[^A-Za-z0-9]*", 0)).otherwise(F.col("m.right"))
+    raw = F.concat("m.left", "m.c", right)
+    return out.select(key, F.col("h.word").alias("word"), "nth", F.col("m.c").alias("candidate"), raw.alias("raw"), F.col("h.before").alias("before"), F.col("h.after").alias("after"), "path")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -86,14 +92,14 @@ def fit(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 3, row
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """(key, word, candidate_sha256, length, score, is_secret): every candidate of every whole text, with the forest's
+    """(key, word, nth, candidate_sha256, length, score, is_secret): every candidate of every whole text, with the forest's
     probability that it is a secret. The candidate itself is not returned. Null and empty texts give no rows, null paths
     count as empty, repeated rows repeat their findings, an empty table gives none, and other columns are not read."""
     found = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(with_features(candidates(docs, key, text, path)))
-    scored = model.transform(found.select(F.col(key).alias("_key"), "word", "candidate", "features"))
+    scored = model.transform(found.select(F.col(key).alias("_key"), "word", "nth", "candidate", "features"))
     score = F.round(F.get(vector_to_array("probability"), F.lit(1)), 6)
     return scored.select(
-        F.col("_key").alias(key), "word", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), score.alias("score"), (score >= threshold).alias("is_secret")
+        F.col("_key").alias(key), "word", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), score.alias("score"), (score >= threshold).alias("is_secret")
     )
 
 

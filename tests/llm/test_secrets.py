@@ -33,3 +33,21 @@ def test_texts(spark, model):
     d = hashlib.sha256(sha.encode()).hexdigest()
     assert got == [(1, 5, True, d), (2, 3, False, d), (6, 2, True, d), (7, 3002, True, d)]
     assert secrets.scan(docs.limit(0), model).collect() == []
+
+
+def test_every_candidate_of_a_word(spark, model):
+    """Minified JSON, an address with a key, and a text without blanks: each candidate is judged with its own surroundings."""
+    sha, key = hashlib.sha1(b"x").hexdigest(), "ghp_" + hashlib.sha256(b"y").hexdigest()[:36]
+    path = "com/some/long/path/2024"
+    many = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(3000)]
+    rows = [(1, f'{{"commit":"{sha}","token":"{key}"}}'), (2, f"see {path}?token={key}"), (3, ",".join(many)), (4, f'{{"token":"{key}","commit":"{sha}"}}'), (5, f"{key};{key}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("src0"))
+    got = {}
+    for r in secrets.scan(docs, model).collect():
+        got.setdefault(r.doc_id, {})[r.word, r.nth] = (r.candidate_sha256, r.is_secret)
+    d = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got[1] == {(0, 0): (d(sha), False), (0, 1): (d(key), True)}
+    assert [v[0] for _, v in sorted(got[2].items())] == [d(path), d(f"token={key}")]
+    assert [v[0] for _, v in sorted(got[3].items())] == [d(x) for x in many]
+    assert got[4] == {(0, 0): (d(key), True), (0, 1): (d(sha), False)}
+    assert [v[0] for _, v in sorted(got[5].items())] == [d(key), d(key)]

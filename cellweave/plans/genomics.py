@@ -199,6 +199,15 @@ def band_join(spark, d):
     return intervals.band_pairs(view(spark, d, "reads").where("ly = 'LIB1'"), 300)
 
 
+@q(
+    "band_join_all",
+    "SELECT a.sm, a.contig, a.ds AS fwd, b.ds AS rev FROM reads a JOIN reads b ON a.sm = b.sm AND a.contig = b.contig AND NOT a.is_reverse AND b.is_reverse AND b.ds > a.ds AND b.ds - a.ds < 300",
+    "reads",
+)
+def band_join_all(spark, d):
+    return intervals.band_pairs(view(spark, d, "reads"), 300)
+
+
 _PAIRS = """pairs AS (SELECT query_name, min(r) FILTER (is_read1) AS r1, min(r) FILTER (NOT is_read1) AS r2 FROM (SELECT query_name, read_index, is_read1,
  {'read_index': read_index, 'contig': contig, 'start_': start_, 'end_': end_, 'is_reverse': is_reverse, 'mapq': mapq, 'cigar': cigar, 'sm': sm, 'rx': rx} AS r FROM reads) GROUP BY query_name)"""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir, or the context's checkpoint folder. In local mode, where the driver is the
+    only machine, one is made when neither is set; on a cluster that is an error."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_to = f"{tempfile.gettempdir()}/cellweave-checkpoints"
         spark.sparkContext.setCheckpointDir(set_to)
     return set_to
@@ -29,7 +33,22 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that written() made and that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let go of the shuffle files of frames that are done with; Spark deletes them when the driver's JVM notices."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

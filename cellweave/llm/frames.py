@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,10 @@ def drop(df: DataFrame) -> None:
 
 def collect_garbage(spark: SparkSession) -> None:
     """Let go of the shuffle files of frames that are done with; Spark deletes them when the driver's JVM notices."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees holds on to more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -27,6 +27,7 @@ from cellweave.llm.words import shingles, word_hashes
 #: Slots of the frequency sketch, as bits; members of a shard of a large block or component; children of a tree node.
 SKETCH_BITS = 20
 SHARD = 1024
+WAYS = 256
 FANOUT = 16
 LEAF = 32
 
@@ -85,10 +86,11 @@ def frequency_sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.nda
 
 
 def shards_by_slot(sketch: np.ndarray, shard: int, frequent: float) -> np.ndarray:
-    """0 for ordinary slots; for frequent ones the shards that a block of one of its shingles is dealt into."""
+    """0 for ordinary slots; for frequent ones the shards that a block of one of its shingles is dealt into beforehand: WAYS at
+    most, so that members are not copied more often than that."""
     mean = sketch.mean()
     hot = sketch > frequent * (mean + 2 * math.sqrt(mean) + 12)
-    return np.where(hot, np.minimum(np.ceil(sketch / shard), 2**15), 0).astype(np.int16)
+    return np.where(hot, np.minimum(np.ceil(sketch / shard), WAYS), 0).astype(np.int32)
 
 
 # -- count vectors and the R-tree -------------------------------------------------------------------------------------
@@ -223,11 +225,11 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
     Documents link when their sets' Jaccard similarity is threshold or more, exactly; n_links counts the other documents
     that a document links with, and component_id is the smallest doc_id reachable by links, itself included. Null and
     empty texts link with nothing. Documents of equal sets link with one another and are compared once. Repeated rows
-    are documents of their own (their ids count as often as they stand there); a null doc_id has a null component unless
-    it is linked. An empty table gives no rows. Other columns are not read."""
+    are documents of their own, whatever their ids and texts (n_links counts each of them); a null doc_id has a null
+    component unless it is linked with one that is not null. An empty table gives no rows. Other columns are not read."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_id"))
     level = shards_by_slot(frequency_sketch(docs, n, sketch_bits), shard, frequent)
     slot_mask = np.uint64((1 << sketch_bits) - 1)
     num, den = threshold.numerator, threshold.denominator
@@ -246,11 +248,13 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
             out["key"].append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
             out["prefix"].append(prefix(s).astype(np.int64) if len(s) else None)
             out["vector"].append(np.minimum(count_vector(s, group_count(len(s))), 65535).astype("<u2").tobytes() if len(s) else None)
-        return out | {"doc_id": b.column(0)}
+        return out | {"doc_id": b.column(0), "text_id": b.column(2)}
 
-    seen = written(map_batches(docs, describe, "doc_id long, n long, key binary, prefix array<long>, vector binary"))
+    seen = written(map_batches(docs, describe, "doc_id long, text_id string, n long, key binary, prefix array<long>, vector binary"))
+    # A class has a number of its own and a head, the document whose text stands for it.
     classes = cut(
-        seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("class", F.xxhash64("key"))
+        seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_id")).alias("head"), F.count("*").alias("copies"))
+        .select("key", "rep", F.col("head.doc_id").alias("head_id"), F.col("head.text_id").alias("head_text"), "copies", F.monotonically_increasing_id().alias("class"))
     )
     # One row per class has its description: that of the document that stands for it.
     heads = _heads(seen, classes)
@@ -288,10 +292,23 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         name = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), at[:-1]) + size.astype(np.uint64)
-        many = size > 1
+        many = (size > 1) & (size <= large)
         pick = np.repeat(many, size)
-        names = np.repeat(name[many], size[many]).view(np.int64)
-        who = who[pick]
+        names, members = [np.repeat(name[many], size[many]).view(np.int64)], [who[pick]]
+        # a large block is dealt into tiles of two shards, each named by its members
+        for k in np.flatnonzero(size > large):
+            block, code = who[at[k] : at[k + 1]], mixed[at[k] : at[k + 1]]
+            ways = min(WAYS, -(-int(size[k]) // shard))
+            own = (code % np.uint64(ways)).astype(np.int64)
+            by = np.argsort(own, kind="stable")
+            block, code, own = block[by], code[by], np.searchsorted(own[by], np.arange(ways + 1))
+            code = code ^ (code >> np.uint64(29))
+            for i in range(ways):
+                for j in range(i + 1, max(ways, i + 1)):
+                    two = np.concatenate((np.arange(own[i], own[i + 1]), np.arange(own[j], own[j + 1])))
+                    names.append(np.full(len(two), code[two].sum() + np.uint64(len(two)), np.uint64).view(np.int64))
+                    members.append(block[two])
+        names, who = np.concatenate(names), np.concatenate(members)
         if len(who):
             order = np.lexsort((who, names))
             names, who = names[order], who[order]
@@ -299,10 +316,13 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
             new[1:] = (names[1:] != names[:-1]) | (who[1:] != who[:-1])
             yield pa.RecordBatch.from_pydict({"block": names[new], "class": who[new]})
 
-    parts = partitions(spark)
+    parts, large = partitions(spark), 8 * shard
     shared = entries.repartition(parts, "token", "tile").mapInArrow(groups, "block long, class long").distinct()
     points = shared.join(heads.select("class", "n", "vector"), "class")
 
+    # Sets of like size have vectors that differ in width by this factor at most (group_count rounds up, from n // 8 - 1).
+    widest = 1 << max(1, math.floor(math.log2(2.3 / threshold)))
+
     def connect(batches):
         t = _table(batches)
         if not t:
@@ -316,10 +336,10 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
         for f, e in zip(at[:-1], at[1:], strict=True):
             got = [np.frombuffer(vectors[int(k)].as_py(), "<u2") for k in order[f:e]]
             forest = Forest(e - f)
-            # a tree for each range of sizes over which vectors have as many groups or half as many
+            # a tree for each width of vectors, with the wider ones that sets of like size may have
             widths = np.array([len(v) for v in got])
             for width in np.unique(widths):
-                near = np.flatnonzero((widths == width) | (widths == 2 * width))
+                near = np.flatnonzero((widths >= width) & (widths <= width * widest))
                 if len(near) < 2:
                     continue
                 tree = RTree(np.array([folded(got[k], width) if len(got[k]) > width else got[k] for k in near]), size[f:e][near], threshold)
@@ -336,12 +356,15 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
 
     # The sets of the candidates, each component together; a large one in tiles of two shards.
     sizes = candidate.groupBy("root").agg(F.count("*").alias("members"))
-    members = candidate.join(sizes, "root").join(classes.select(F.col("class").alias("id"), "rep", "copies"), "id")
-    wanted = members.select(F.col("id").alias("class"), F.col("rep").alias("doc_id"), "copies", F.col("root"), F.ceil(F.col("members") / shard).cast("int").alias("shards"))
-    texts = docs.join(wanted, "doc_id")
+    members = candidate.join(sizes, "root").join(classes.select(F.col("class").alias("id"), "head_id", "head_text", "copies"), "id")
+    wanted = members.select(F.col("id").alias("class"), "head_id", "head_text", "copies", F.col("root"), F.ceil(F.col("members") / shard).cast("int").alias("shards"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_id") == F.col("head_text")))
+    loaded_here: set[int] = set()  # of a task: rows that repeat come once
 
     def load(b: pa.RecordBatch):
         out: dict[str, list] = {k: [] for k in ("root", "tile", "class", "copies", "own", "set")}
+        fresh = [k for k, c in enumerate(b.column(1).to_pylist()) if not (c in loaded_here or loaded_here.add(c))]
+        b = b.take(pa.array(fresh, pa.int64()))
         root, who, copies, shards = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
         for k, s in enumerate(sets_of(b.column(4), n)):
             own = (who[k] & 0xFFFFFFFFFFFFFFFF) % shards[k]
@@ -367,7 +390,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
         out_id, out_links, out_to = [], [], []
         for f, e in zip(at[:-1], at[1:], strict=True):
             idx = order[f:e]
-            # a class may come twice where a document repeats
+            # a class may come twice where a row repeats in another task
             _, firsts = np.unique(who[idx], return_index=True)
             idx = idx[firsts]
             sets = [np.frombuffer(t["set"][int(k)].as_py(), np.uint64) for k in idx]
@@ -393,9 +416,9 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
 
 
 def _heads(seen: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, n, prefix, vector), one row a class, by the document that represents it."""
-    head = classes.select(F.col("class"), F.col("key").alias("k"), F.col("rep"))
-    rows = seen.where("key is not null").join(head, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    """(class, n, prefix, vector), one row a class; documents of a class have the same."""
+    head = classes.select("class", F.col("key").alias("k"), "head_id", "head_text")
+    rows = seen.where("key is not null").join(head, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_id") == F.col("head_text")))
     return rows.groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("vector").alias("vector"))
 
 
@@ -458,6 +481,8 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id."""
+    """The documents without those whose component has a smaller doc_id.
+
+    Null ids and texts without words stay, rows that repeat an id stay or go together; an empty table stays empty."""
     gone = jaccard_join(docs, n, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

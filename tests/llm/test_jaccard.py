@@ -73,3 +73,48 @@ def test_tree_loses_no_pair():
     true = {(a, b) for a in range(150) for b in range(a + 1, 150) if len(np.intersect1d(sets[a], sets[b])) * 100 >= 85 * len(np.union1d(sets[a], sets[b]))}
     assert true <= found and true
     assert len(found) < 150 * 149 / 4
+
+
+def test_null_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, near = " ".join(words), " ".join([*words[:59], "x"])
+    b, near_b = " ".join(f"v{k}" for k in range(60)), " ".join([*(f"v{k}" for k in range(59)), "y"])
+    rows = [(None, a), (5, near), (1, a + " tail"), (1, b), (2, a), (3, near_b), (None, None), (None, "alone here is one"), (9, b), (9, b)]
+    got = sorted(((r.doc_id, r.component_id, r.n_links) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    # 1 stands for a text of the first group and for one of the second; both groups have it as their smallest id
+    assert got == sorted([(None, 1, 3), (5, 1, 3), (1, 1, 3), (2, 1, 3), (1, 1, 3), (3, 1, 3), (9, 1, 3), (9, 1, 3), (None, None, 0), (None, None, 0)], key=repr)
+    docs = spark.createDataFrame([(None, a), (5, near)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id, r.n_links) for r in jaccard.jaccard_join(docs).collect()} == {(None, 5, 1), (5, 5, 1)}
+
+
+def test_any_threshold(spark):
+    """At low thresholds sets whose vectors are four times as wide are compared."""
+    words = [f"u{k}" for k in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(words[:138])), (2, " ".join(words[:267])), (3, " ".join(words[290:]))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_join(docs, 4, Fraction(51, 100)).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_shards_at_any_count():
+    sketch = np.ones(1 << 10, np.int64)
+    sketch[3], sketch[4] = 10**9, 5000
+    shards = jaccard.shards_by_slot(sketch, 1024, 4.0)
+    assert shards[3] == 0 or shards[3] > 1
+    sketch = np.full(1 << 20, 100, np.int64)
+    sketch[3], sketch[4] = 10**9, 5000
+    shards = jaccard.shards_by_slot(sketch, 1024, 4.0)
+    assert shards[3] == jaccard.WAYS and shards[4] == 5 and shards[5] == 0
+
+
+def test_large_blocks_in_tiles(spark):
+    """Blocks of over eight shards are dealt into tiles where they meet; nothing is lost."""
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.integers(0, 80, 2):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in jaccard.jaccard_join(docs, 4, Fraction(7, 10), shard=4, frequent=1e9).collect()}
+    assert got == brute(rows, 4, Fraction(7, 10))

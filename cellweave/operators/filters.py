@@ -22,10 +22,11 @@ def counted(
     r1_only: bool = False, r2_only: bool = False, mappable: bool = False, min_mapq: int = 0, proper: bool = False, no_indels: bool = False, max_edits: int | None = None,
     no_clips: bool = False, no_alternative: bool = False, dedup: bool = False, qcfail: bool = False, mapped: bool = True,
 ) -> Column:
-    """The composed filter of the count table, each part as its option says."""
+    """The composed filter of the count table, each part as its option says. r1_only drops second mates and r2_only first ones,
+    so that reads without a mate pass both."""
     parts = [F.lit(True)]
     if r1_only:
-        parts.append(F.col("is_read1"))
+        parts.append(~F.col("is_read2"))
     if r2_only:
         parts.append(~F.col("is_read1"))
     if mappable:
@@ -78,7 +79,7 @@ def expression(df: DataFrame, text: str) -> DataFrame:
     return df.where(F.expr(text))
 
 
-def without_blacklisted(reads: DataFrame, blacklist: DataFrame, bin_size: int = 10_000) -> DataFrame:
+def without_blacklisted(reads: DataFrame, blacklist: DataFrame, bin_size: int | None = None) -> DataFrame:
     """Drop reads that start or end within a region (half-open); those that span one stay."""
     return intervals.outside(reads, blacklist, "contig", ("start_", "end_"), "b_start", "b_end", bin_size)
 

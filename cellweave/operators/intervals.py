@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Width of the bins that make an equality key of an interval; about the length of the longest common feature.
-BIN = 10_000
+#: Bounds of the width of the bins that make an equality key of an interval.
+BIN = (128, 100_000)
 #: Length of contig that an ordered window spans.
 TILE = 20_000
 
 
+def bin_size(features: DataFrame, start: str, end: str) -> int:
+    """About the length that nine in ten features do not exceed: a power of two, by one aggregate over the features."""
+    n = features.agg(F.percentile_approx(F.col(end) - F.col(start), 0.9, 200)).first()[0] or 0
+    return min(BIN[1], max(BIN[0], 1 << max(0, int(n)).bit_length()))
+
+
 def _bins(a: Column, b: Column, size: int) -> Column:
     return F.explode(F.sequence(F.floor(a / size), F.floor(b / size)))
 
 
-def points_in(points: DataFrame, features: DataFrame, position: str = "ds", start: str = "f_start", end: str = "f_end", size: int = BIN, strand: bool = False) -> DataFrame:
+def points_in(points: DataFrame, features: DataFrame, position: str = "ds", start: str = "f_start", end: str = "f_end", size: int | None = None, strand: bool = False) -> DataFrame:
     """Points and the features whose closed interval holds them, on the same contig (and strand)."""
+    size = size or bin_size(features, start, end)
     p = points.withColumn("_bin", F.floor(F.col(position) / size))
     f = features.withColumnRenamed("contig", "_contig").withColumn("_fbin", _bins(F.col(start), F.col(end), size))
     on = (F.col("contig") == F.col("_contig")) & (F.col("_bin") == F.col("_fbin")) & F.col(position).between(F.col(start), F.col(end))
@@ -26,8 +33,9 @@ def points_in(points: DataFrame, features: DataFrame, position: str = "ds", star
     return p.join(f, on).drop("_bin", "_fbin", "_contig")
 
 
-def overlaps(left: DataFrame, right: DataFrame, ls: str = "start_", le: str = "end_", rs: str = "f_start", re: str = "f_end", size: int = BIN, half_open: bool = False) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, ls: str = "start_", le: str = "end_", rs: str = "f_start", re: str = "f_end", size: int | None = None, half_open: bool = False) -> DataFrame:
     """Pairs of overlapping intervals, each once: a pair is taken in the bin where its overlap starts."""
+    size = size or bin_size(right, rs, re)
     a = left.withColumn("_bin", _bins(F.col(ls), F.col(le), size))
     b = right.withColumnRenamed("contig", "_contig").withColumn("_fbin", _bins(F.col(rs), F.col(re), size))
     first = F.greatest(ls, rs)
@@ -36,13 +44,14 @@ def overlaps(left: DataFrame, right: DataFrame, ls: str = "start_", le: str = "e
     return a.join(b, on).drop("_bin", "_fbin", "_contig")
 
 
-def covering_both_ends(left: DataFrame, features: DataFrame, ls: str = "start_", le: str = "end_", size: int = BIN) -> DataFrame:
+def covering_both_ends(left: DataFrame, features: DataFrame, ls: str = "start_", le: str = "end_", size: int | None = None) -> DataFrame:
     """Features that hold the first and the last position of an interval."""
     return overlaps(left, features, ls, le, size=size).where((F.col("f_start") <= F.col(ls)) & (F.col("f_end") >= F.col(le)))
 
 
-def outside(rows: DataFrame, regions: DataFrame, contig: str, positions: tuple[str, ...], start: str, end: str, size: int = BIN) -> DataFrame:
+def outside(rows: DataFrame, regions: DataFrame, contig: str, positions: tuple[str, ...], start: str, end: str, size: int | None = None) -> DataFrame:
     """Rows none of whose positions lies in a half-open region of their contig."""
+    size = size or bin_size(regions, start, end)
     r = regions.select(F.col(contig).alias("_contig"), F.col(start).alias("_s"), F.col(end).alias("_e"), _bins(F.col(start), F.col(end), size).alias("_rbin"))
     for p in positions:
         on = (F.col(contig) == F.col("_contig")) & (F.floor(F.col(p) / size) == F.col("_rbin")) & (F.col(p) >= F.col("_s")) & (F.col(p) < F.col("_e"))

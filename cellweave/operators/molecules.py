@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellweave.operators.windows import running_max
+
 
 def exact(fragments: DataFrame, *key: str) -> DataFrame:
     """Adds molecule (smallest read_index), rc (rank in it from 0), af (its fragments) and duplicate."""
@@ -19,11 +21,13 @@ def exact(fragments: DataFrame, *key: str) -> DataFrame:
     return fragments.withColumns({"molecule": F.min("read_index").over(w), "rc": rc, "af": F.count("*").over(w)}).withColumn("is_copy", F.col("rc") > 0)
 
 
-def near_groups(fragments: DataFrame, key: list[str], position: str, reach: int) -> DataFrame:
-    """Adds session: runs of a key in which no two neighbours are further apart than reach. Molecules never cross them."""
-    w = Window.partitionBy(*key).orderBy(position, "read_index")
-    gap = F.col(position) - F.lag(position).over(w)
-    return fragments.withColumn("_new", (gap.isNull() | (gap > reach)).cast("int")).withColumn("session", F.sum("_new").over(w)).drop("_new")
+def near_groups(fragments: DataFrame, key: list[str], position: str, reach: int, end: str | None = None) -> DataFrame:
+    """Adds session, the first position of a run of a key in which every fragment begins within reach of what came before.
+    Molecules never cross runs. Windows span tiles of the coordinate, so that a deep key is no single task."""
+    order = [position, "read_index"]
+    rows = running_max(fragments, "_reach", F.col(end or position), key, order, True)
+    opened = F.when(F.col("_reach").isNull() | (F.col(position) - F.col("_reach") > reach), F.col(position))
+    return running_max(rows, "session", opened, key, order, False).drop("_reach")
 
 
 def umi_matches(a: str, b: str, most: int) -> bool:
@@ -33,14 +37,25 @@ def umi_matches(a: str, b: str, most: int) -> bool:
     return len(a) == len(b) and sum(x != y and x != "N" and y != "N" for x, y in zip(a, b, strict=True)) <= most
 
 
-def assign(fragments: DataFrame, key: list[str], position: str = "site", umi: str = "rx", radius: int = 0, hamming: int = 0, pooling: int = 1, most: int | None = None) -> DataFrame:
+def first_seen(counts: dict, a: str, b: str) -> bool:
+    """Whether a came before b into the counts."""
+    return next(k for k in counts if k in (a, b)) == a
+
+
+def assign(
+    fragments: DataFrame, key: list[str], position: str = "site", umi: str | None = "rx", radius: int = 0, hamming: int = 0, pooling: int = 1, most: int | None = None, end: str | None = None
+) -> DataFrame:
     """(read_index, molecule, rc, overflow): each fragment joins the first molecule that accepts it, else founds one.
 
-    pooling 1 compares with the molecule's running span and its commonest UMI (the first seen of equals), pooling 0 with
-    any member. A molecule of most fragments accepts no more, and what it would have accepted overflows into a molecule
+    A fragment is a position, or a span from position to end. It is near when either of its edges lies within the radius of
+    the same edge. pooling 1 compares with the edges of the molecule's running span and its commonest UMI (the first seen of
+    equals), pooling 0 with any member. Without umi all match. A molecule of most fragments accepts no more, and what it would have accepted overflows into a molecule
     of its own. Order is that of read_index."""
     # with pooling, chains of members can reach further than the radius, never further than one gap at a time
-    grouped = near_groups(fragments, key, position, radius).select(*key, "session", F.col(position).cast("long").alias("_p"), F.coalesce(umi, F.lit("")).alias("_u"), F.col("read_index").cast("long"))
+    grouped = near_groups(fragments, key, position, radius, end).select(
+        *key, "session", F.col(position).cast("long").alias("_p"), F.col(end or position).cast("long").alias("_e"),
+        (F.coalesce(umi, F.lit("")) if umi else F.lit("")).alias("_u"), F.col("read_index").cast("long"),
+    )
 
     names = [*key, "session"]
 
@@ -48,28 +63,31 @@ def assign(fragments: DataFrame, key: list[str], position: str = "site", umi: st
         last, found = None, []
         for pdf in batches:
             rows = []
-            for *k, p, u, r in pdf[[*names, "_p", "_u", "read_index"]].itertuples(index=False, name=None):
+            for *k, p, e, u, r in pdf[[*names, "_p", "_e", "_u", "read_index"]].itertuples(index=False, name=None):
                 if k != last:
                     last, found = k, []
                 home, full = None, False
                 for m in found:
                     if pooling:
-                        near = min(abs(p - m["low"]), abs(p - m["high"])) <= radius or m["low"] <= p <= m["high"]
-                        ok = near and umi_matches(u, max(m["umis"], key=m["umis"].get), hamming)
+                        near = min(abs(p - m["low"]), abs(e - m["high"])) <= radius
+                        ok = near and umi_matches(u, m["mode"], hamming)
                     else:
-                        ok = any(abs(p - q) <= radius and umi_matches(u, v, hamming) for q, v in m["members"])
+                        ok = any(min(abs(p - q), abs(e - z)) <= radius and umi_matches(u, v, hamming) for q, z, v in m["members"])
                     if ok:
                         full = most is not None and m["n"] >= most
                         home = None if full else m
                         break
                 if home is None:
-                    home = {"id": r, "low": p, "high": p, "umis": {}, "members": set(), "n": 0}
+                    home = {"id": r, "low": p, "high": e, "umis": {}, "mode": u, "members": set(), "n": 0}
                     if not full:
                         found.append(home)
                 rows.append((r, home["id"], home["n"], full))
-                home["low"], home["high"], home["n"] = min(home["low"], p), max(home["high"], p), home["n"] + 1
+                home["low"], home["high"], home["n"] = min(home["low"], p), max(home["high"], e), home["n"] + 1
                 home["umis"][u] = home["umis"].get(u, 0) + 1
-                home["members"].add((p, u))
+                if home["umis"][u] > home["umis"][home["mode"]] or (home["umis"][u] == home["umis"][home["mode"]] and first_seen(home["umis"], u, home["mode"])):
+                    home["mode"] = u
+                if not pooling:
+                    home["members"].add((p, e, u))
             yield pd.DataFrame(rows, columns=["read_index", "molecule", "rc", "overflow"]).astype({"read_index": "int64", "molecule": "int64", "rc": "int32", "overflow": "bool"})
 
     # One sorted pass over many keys: Spark's sort spills, and the worker holds the molecules of one session only.

@@ -130,7 +130,7 @@ def transcript_pass(pairs: DataFrame, expected: DataFrame, umi: int = 6) -> Data
     expected (index, tx_barcode) names each cell's transcriptome barcode. A barcode followed by five T in the first mate, or in
     the reverse complement of the second, makes the pair VASA with the bases before it as UMI (null if there are none) and the
     second mate trimmed; else a run of 23 T is rejected, and a promoter or adapter marks the pair. Nulls stay null."""
-    rows = pairs.join(F.broadcast(expected.select("index", "tx_barcode")), "index", "left")
+    rows = pairs.join(expected.select("index", "tx_barcode"), "index", "left")
     probe, rc = F.concat("tx_barcode", F.lit("TTTTT")), S.reverse_complement(F.col("rest2"))
     at1, at2 = F.position(probe, F.col("rest1")), F.position(probe, rc)
     seq, end = F.when(at1 > 0, F.col("rest1")).otherwise(rc), F.when(at1 > 0, at1).otherwise(at2) - 1

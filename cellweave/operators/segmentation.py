@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def lowess(y: np.ndarray, x: np.ndarray, share: float = 2 / 3, rounds: int = 3) -> np.ndarray:
@@ -88,42 +89,60 @@ def scale_to_integers(copies: DataFrame, low: float = 0.7, high: float = 1.3, of
     return copies.select("sm", "bin", "copies").groupBy("sm").applyInPandas(one, "sm string, bin long, copies double")
 
 
-def _arc(x: np.ndarray) -> tuple[float, int, int]:
-    """The arc of a circle of values whose mean differs most from the rest: (statistic, from, to)."""
-    path = np.cumsum(x - x.mean())
-    a, b = sorted((int(path.argmin()), int(path.argmax())))
-    inside = b - a
-    if inside in (0, len(x)):
-        return 0.0, 0, len(x)
-    return float((path[b] - path[a]) ** 2 * len(x) / (inside * (len(x) - inside))), a + 1, b + 1
+def arc_statistics(paths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of cumulated sums (from 0): the largest statistic of all arcs, and where that arc begins and ends.
 
-
-def breakpoints(x: np.ndarray, shuffles: int, p: float, least: int, seed: int) -> list[int]:
-    """Where segments start, 0 first: arcs that at most a share p of shuffles beats are cut out, and their parts are tried again."""
-    dice, starts, todo = np.random.default_rng(seed), {0}, [(0, len(x))]
-    while todo:
-        lo, hi = todo.pop()
-        part = x[lo:hi]
-        if len(part) < 2 * least:
+    An arc from i to j has the mean of its k values set against that of the n - k others: |difference| * sqrt(k (n - k) / n),
+    which is the two-sample t statistic but for a variance that all arcs share. Arcs, and what they leave at each end,
+    have least values at least, or none."""
+    n = paths.shape[1] - 1
+    total = paths[:, -1:]
+    best, begin, end = np.zeros(len(paths)), np.zeros(len(paths), int), np.zeros(len(paths), int)
+    for k in range(least, n - least + 1):
+        i = np.arange(n - k + 1)
+        i = i[((i == 0) | (i >= least)) & ((i + k == n) | (i + k <= n - least))]
+        if not len(i):
+            continue
+        inner = paths[:, i + k] - paths[:, i]
+        z = np.abs(inner / k - (total - inner) / (n - k)) * np.sqrt(k * (n - k) / n)
+        at = z.argmax(1)
+        top = z[np.arange(len(z)), at]
+        better = top > best
+        best[better], begin[better], end[better] = top[better], i[at[better]], i[at[better]] + k
+    return best, begin, end
+
+
+def breakpoints(x: np.ndarray, shuffles: int, p: float, least: int, seed: int, together: int = 1 << 18) -> list[int]:
+    """Where segments start, 0 first. A stretch is cut at the arc of the largest statistic when its permutation p-value,
+    (1 + shuffles that reach it) / (1 + shuffles), is p at most; the parts on both sides and the arc go on alone."""
+    starts, work = {0}, [(0, len(x))]
+    dice = np.random.default_rng(seed)
+    while work:
+        low, high = work.pop(0)
+        n = high - low
+        if n < 2 * least:
+            continue
+        part = x[low:high] - x[low:high].mean()
+        path = lambda rows: np.concatenate((np.zeros((len(rows), 1)), np.cumsum(rows, 1)), 1)
+        (top,), (i,), (j,) = arc_statistics(path(part[None, :]), least)
+        if top <= 1e-12:
             continue
-        best, a, b = _arc(part)
-        a, b = (0 if a < least else a), (len(part) if len(part) - b < least else b)
-        if best <= 0 or b - a < least or b - a == len(part):
+        reached, left = 0, shuffles
+        while left and reached + 1 <= p * (1 + shuffles):
+            some = min(left, max(1, together // n))
+            reached += int((arc_statistics(path(dice.permuted(np.tile(part, (some, 1)), axis=1)), least)[0] >= top - 1e-12).sum())
+            left -= some
+        if reached + 1 > p * (1 + shuffles):
             continue
-        allowed, beaten = int(shuffles * p), 0
-        for _ in range(shuffles):
-            beaten += _arc(dice.permutation(part))[0] >= best
-            if beaten > allowed:
-                break
-        else:
-            cuts = sorted({lo, lo + a, lo + b, hi})
-            starts.update(cuts[:-1])
-            todo.extend(zip(cuts[:-1], cuts[1:], strict=True))
+        for a, b in ((0, i), (i, j), (j, n)):
+            if a < b:
+                starts.add(low + a)
+                work.append((low + a, low + b))
     return sorted(starts)
 
 
 def segments(copies: DataFrame, shuffles: int = 1000, p: float = 0.05, least: int = 5, seed: int = 1) -> DataFrame:
-    """(sm, contig, segment, start_bin, end_bin, bins, copies): each cell's contigs cut into stretches of like copies.
+    """(sm, contig, segment, start_bin, end_bin, bins, copies, median): each cell's contigs cut into stretches of like copies.
 
     Bins with null copies are left out. copies is the mean over the segment. The shuffles are seeded by the cell and
     the contig, so a second run of a task gives the same cuts."""
@@ -133,14 +152,38 @@ def segments(copies: DataFrame, shuffles: int = 1000, p: float = 0.05, least: in
         x, bins = f["copies"].to_numpy(float), f["bin"].to_numpy()
         sm, contig = f["sm"].iloc[0], f["contig"].iloc[0]
         at = [*breakpoints(x, shuffles, p, least, zlib.crc32(f"{seed}:{sm}:{contig}".encode())), len(x)]
-        rows = [(sm, contig, k, int(bins[a]), int(bins[b - 1]), b - a, float(x[a:b].mean())) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
-        return pd.DataFrame(rows, columns=["sm", "contig", "segment", "start_bin", "end_bin", "bins", "copies"])
+        rows = [(sm, contig, k, int(bins[a]), int(bins[b - 1]), b - a, float(x[a:b].mean()), float(np.median(x[a:b]))) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+        return pd.DataFrame(rows, columns=["sm", "contig", "segment", "start_bin", "end_bin", "bins", "copies", "median"])
 
     return copies.where("copies is not null").select("sm", "contig", "bin", "copies").groupBy("sm", "contig").applyInPandas(
-        one, "sm string, contig string, segment int, start_bin long, end_bin long, bins long, copies double"
+        one, "sm string, contig string, segment int, start_bin long, end_bin long, bins long, copies double, median double"
     )
 
 
+def segment_calls(cut: DataFrame) -> DataFrame:
+    """(sm, contig, start_bin, end_bin, bins, copy_number): neighbouring segments of the same rounded median are one call."""
+    w = Window.partitionBy("sm", "contig").orderBy("segment")
+    rows = cut.withColumn("copy_number", F.rint("median").cast("long"))
+    rows = rows.withColumn("_new", (~F.col("copy_number").eqNullSafe(F.lag("copy_number").over(w))).cast("int")).withColumn("_g", F.sum("_new").over(w))
+    return rows.groupBy("sm", "contig", "_g").agg(F.min("start_bin").alias("start_bin"), F.max("end_bin").alias("end_bin"), F.sum("bins").alias("bins"), F.first("copy_number").alias("copy_number")).drop("_g")
+
+
+def steady_segments(profile: DataFrame, segments_: DataFrame, limit: float = 0.025, min_cells: int = 5) -> DataFrame:
+    """(contig, start_bin, end_bin, variance): segments (contig, start_bin, end_bin) that two copy numbers or more share out among
+    the cells, the second with min_cells at least, and in which the cells of either vary by limit at most.
+
+    profile has (sm, contig, bin, copies). A cell's copy number in a segment is its rounded median, its level the mean;
+    variance is the larger sample variance of levels of the two commonest copy numbers (of equals, the smaller number)."""
+    s = segments_.select(F.col("contig").alias("_c"), "start_bin", "end_bin").distinct()
+    rows = profile.where("copies is not null").join(s, (F.col("contig") == F.col("_c")) & F.col("bin").between(F.col("start_bin"), F.col("end_bin")))
+    cells = rows.groupBy("contig", "start_bin", "end_bin", "sm").agg(F.rint(F.percentile("copies", 0.5)).cast("long").alias("_cn"), F.avg("copies").alias("_level"))
+    n = cells.groupBy("contig", "start_bin", "end_bin", "_cn").agg(F.count("*").alias("_n"), F.var_samp("_level").alias("_v"))
+    w = Window.partitionBy("contig", "start_bin", "end_bin").orderBy(F.desc("_n"), "_cn")
+    top = n.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
+    out = top.groupBy("contig", "start_bin", "end_bin").agg(F.max("_v").alias("variance"), F.max(F.when(F.col("_r") == 2, F.col("_n"))).alias("_second"))
+    return out.where((F.col("_second") >= min_cells) & (F.col("variance") <= limit)).drop("_second")
+
+
 def clones(profile: DataFrame, min_cells: int) -> DataFrame:
     """(sm, clone, cells): cells whose rounded copies (sm, contig, bin, copies) are all alike, in groups of min_cells at least.
 

@@ -27,9 +27,15 @@ def histogram(df: DataFrame, c: str) -> DataFrame:
     return df.groupBy(c).agg(F.count("*").alias("n"))
 
 
+def safe_read(min_mapq: int = 60, max_edits: int = 2) -> Column:
+    """Properly paired first mates, mapped with certainty, without indels or clips; a missing edit count passes."""
+    edits = F.col("nm").isNull() | (F.col("nm") <= max_edits)
+    return ~F.col("unmapped") & F.col("proper") & ~F.col("qcfail") & F.col("is_read1") & (F.col("mapq") >= min_mapq) & edits & ~F.col("cigar").rlike("[ISD]")
+
+
 def cascade(reads: DataFrame, *by: str) -> DataFrame:
     """Unmapped, failed, duplicate, safe and other reads: each read in the first class that fits."""
-    safe = F.col("proper") & F.col("is_read1") & (F.col("mapq") >= 50) & (F.col("nm") <= 2) & ~F.col("cigar").rlike("[ISD]")
+    safe = safe_read()
     kind = F.when(F.col("unmapped"), "unmapped").when(F.col("qcfail"), "qcfail").when(F.col("duplicate"), "duplicate").when(safe, "safe").otherwise("pass")
     return reads.groupBy(*by, kind.alias("kind")).agg(F.count("*").alias("n"))
 

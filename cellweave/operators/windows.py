@@ -18,19 +18,39 @@ def tumbling_bin(position: Column, size: int) -> Column:
     return (F.floor(position / F.lit(float(size))) * size).cast("long")
 
 
-def merged_ranges(ranges: DataFrame, start: str, end: str, by: str = "contig") -> DataFrame:
-    """Unions of overlapping ranges; ranges that only touch stay apart."""
-    w = Window.partitionBy(by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = ranges.withColumn("_new", (reach.isNull() | (F.col(start) >= reach)).cast("int"))
-    return opened.withColumn("_g", F.sum("_new").over(w)).groupBy(by, "_g").agg(F.min(start).alias("start_"), F.max(end).alias("end_")).drop("_g")
+#: Length of contig that an ordered window spans; what lies before it is carried over from one row a tile.
+TILE = 1 << 20
+
+
+def running_max(df: DataFrame, name: str, value: Column, by: list[str], order: list[str], strict: bool, tile: int = TILE) -> DataFrame:
+    """Adds name: the largest value of the rows of the same by up to this one in order, or before it where strict; the first of
+    order is a coordinate. No window spans more than a tile of it."""
+    rows = df.withColumns({"_v": value, "_tile": F.floor(F.col(order[0]) / tile)})
+    tiles = rows.groupBy(*by, "_tile").agg(F.max("_v").alias("_m"))
+    before = Window.partitionBy(*by).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tiles.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_tile").alias("_tile2"), F.max("_m").over(before).alias("_carry"))
+    within = Window.partitionBy(*by, "_tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    on = F.col("_tile") == F.col("_tile2")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    out = rows.withColumn("_w", F.max("_v").over(within)).join(carry, on).withColumn(name, F.greatest("_w", "_carry"))
+    return out.drop("_v", "_w", "_tile", "_tile2", "_carry", *[f"_by{i}" for i in range(len(by))])
+
+
+def merged_ranges(ranges: DataFrame, start: str, end: str, *by: str) -> DataFrame:
+    """Unions of overlapping ranges of a contig (or other keys); ranges that only touch stay apart."""
+    keys = list(by) or ["contig"]
+    reach = running_max(ranges.select(*keys, start, end), "_reach", F.col(end), keys, [start, end], True)
+    opened = F.when(F.col("_reach").isNull() | (F.col(start) >= F.col("_reach")), F.col(start))
+    islands = running_max(reach, "_g", opened, keys, [start, end], False)
+    return islands.groupBy(*keys, "_g").agg(F.min(start).alias("start_"), F.max(end).alias("end_")).drop("_g")
 
 
 def gaps(merged: DataFrame, contigs: DataFrame) -> DataFrame:
     """What merged ranges (contig, start_, end_) leave of the contigs (contig, length_)."""
     rows = merged.select("contig", "start_", "end_").union(contigs.select("contig", F.col("length_"), F.col("length_")))
-    before = F.coalesce(F.max("end_").over(Window.partitionBy("contig").orderBy("start_", "end_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("contig", before.alias("gap_start"), F.col("start_").alias("gap_end")).where("gap_start < gap_end")
+    rows = running_max(rows, "_reach", F.col("end_"), ["contig"], ["start_", "end_"], True)
+    return rows.select("contig", F.coalesce("_reach", F.lit(0)).alias("gap_start"), F.col("start_").alias("gap_end")).where("gap_start < gap_end")
 
 
 def blacklisted_bins(merged: DataFrame, contigs: DataFrame, size: int, halo: int) -> DataFrame:
@@ -44,9 +64,10 @@ def blacklisted_bins(merged: DataFrame, contigs: DataFrame, size: int, halo: int
 
 def consecutive_runs(df: DataFrame, position: str, *by: str) -> DataFrame:
     """Runs of consecutive integers."""
-    w = Window.partitionBy(*by).orderBy(position)
-    d = df.select(*by, position).distinct().withColumn("_g", F.col(position) - F.row_number().over(w))
-    return d.groupBy(*by, "_g").agg(F.min(position).alias("run_start"), F.max(position).alias("run_end")).drop("_g")
+    d = running_max(df.select(*by, position).distinct(), "_last", F.col(position), list(by), [position], True)
+    opened = F.when(F.col("_last").isNull() | (F.col(position) > F.col("_last") + 1), F.col(position))
+    d = running_max(d, "run_start", opened, list(by), [position], False)
+    return d.groupBy(*by, "run_start").agg(F.max(position).alias("run_end"))
 
 
 def adjacent_distances(cuts: DataFrame, low: int, high: int, *by: str, position: str = "ds") -> DataFrame:
@@ -63,8 +84,12 @@ def rolling_mean(df: DataFrame, value: str, order: str, reach: int, *by: str) ->
 
 
 def z_scores(df: DataFrame, value: str, *by: str) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn("z", (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0)))
+    """Adds z: the value's distance from its group's mean in population standard deviations; null where they are 0."""
+    stats = df.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return df.join(stats, on).withColumn("z", (F.col(value) - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_mean", "_sd", *[f"_by{i}" for i in range(len(by))])
 
 
 def nucleosome_votes(sites: DataFrame, low: int = 100, high: int = 200, size: int = 10) -> DataFrame:

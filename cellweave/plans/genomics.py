@@ -29,10 +29,10 @@ def read_filter(spark, d):
     return view(spark, d, "reads").where(keep).groupBy("sm").agg(F.count("*").alias("n"))
 
 
-@q("r1_and_r2_only", "SELECT sm, count(*) FILTER (is_read1) AS r1, count(*) FILTER (NOT is_read1) AS r2 FROM reads WHERE NOT qcfail AND NOT unmapped GROUP BY sm", "reads")
+@q("r1_and_r2_only", "SELECT sm, count(*) FILTER (NOT is_read2) AS r1, count(*) FILTER (NOT is_read1) AS r2 FROM reads WHERE NOT qcfail AND NOT unmapped GROUP BY sm", "reads")
 def r1_and_r2_only(spark, d):
-    r = view(spark, d, "reads").where(filters.counted())
-    return r.groupBy("sm").agg(F.count(F.when(F.col("is_read1"), 1)).alias("r1"), F.count(F.when(~F.col("is_read1"), 1)).alias("r2"))
+    n = lambda keep: F.count(F.when(keep, 1))
+    return view(spark, d, "reads").groupBy("sm").agg(n(filters.counted(r1_only=True)).alias("r1"), n(filters.counted(r2_only=True)).alias("r2"))
 
 
 @q("binned_filter", "SELECT contig, count(*) AS n FROM reads WHERE mapq >= 20 AND NOT qcfail AND (mp IS NULL OR mp = 'unique') AND NOT duplicate AND is_read1 GROUP BY contig", "reads")
@@ -192,19 +192,10 @@ def nearest_feature(spark, d):
 
 @q(
     "band_join",
-    "SELECT a.sm, a.contig, a.ds AS fwd, b.ds AS rev FROM reads a JOIN reads b ON a.sm = b.sm AND a.contig = b.contig AND NOT a.is_reverse AND b.is_reverse AND b.ds > a.ds AND b.ds - a.ds < 300 WHERE a.ly = 'LIB1'",
-    "reads",
-)
-def band_join(spark, d):
-    return intervals.band_pairs(view(spark, d, "reads").where("ly = 'LIB1'"), 300)
-
-
-@q(
-    "band_join_all",
     "SELECT a.sm, a.contig, a.ds AS fwd, b.ds AS rev FROM reads a JOIN reads b ON a.sm = b.sm AND a.contig = b.contig AND NOT a.is_reverse AND b.is_reverse AND b.ds > a.ds AND b.ds - a.ds < 300",
     "reads",
 )
-def band_join_all(spark, d):
+def band_join(spark, d):
     return intervals.band_pairs(view(spark, d, "reads"), 300)
 
 
@@ -261,12 +252,13 @@ def molecule_tolerant(spark, d):
 
 @q(
     "molecule_table",
-    """SELECT sm, contig, is_reverse, start_ % 200 AS site_key, rx, count(*) AS fragments, min(start_) AS span_start, max(end_) AS span_end, max(mapq) AS max_mapq, min(read_index) AS molecule,
- CASE WHEN max(mapq) = 0 THEN 'multimapping' WHEN max(mapq) < 20 THEN 'MQ' END AS rr FROM reads GROUP BY ALL HAVING count(*) >= 1 AND max(mapq) >= 5""",
+    """SELECT sm, contig, is_reverse, start_ % 200 AS site_key, rx, count(*) AS fragments, min(start_) AS span_start, max(end_) AS span_end, max(mapq) AS max_mapq, CASE WHEN is_reverse THEN max(start_ + nm) ELSE min(start_ + nm) END AS consensus_site, min(read_index) AS molecule,
+ CASE WHEN max(mapq) = 0 THEN 'multimapping' WHEN max(mapq) < 20 THEN 'MQ' END AS rr FROM reads GROUP BY sm, contig, is_reverse, start_ % 200, rx HAVING count(*) >= 1 AND max(mapq) >= 5""",
     "reads",
 )
 def molecule_table(spark, d):
-    m = molecules.molecules(_sites(spark, d).withColumn("site_key", F.col("site")), "sm", "contig", "is_reverse", "site_key", "rx").drop("consensus_site")
+    s = _sites(spark, d).withColumnRenamed("site", "site_key").withColumn("site", F.col("start_") + F.col("nm"))
+    m = molecules.molecules(s, "sm", "contig", "is_reverse", "site_key", "rx")
     return m.where(molecules.valid(1, 5)).withColumn("rr", molecules.rejection())
 
 
@@ -422,18 +414,22 @@ def barcode_expansion(spark, d):
 
 @q("barcode_correction", f"WITH {_EXPAND} SELECT barcode, hd, count(*) AS n FROM reads LEFT JOIN ex ON rx = observed GROUP BY ALL", "reads")
 def barcode_correction(spark, d):
-    return barcodes.corrected(view(spark, d, "reads"), F.broadcast(barcode_expansion(spark, d)), "rx").groupBy("barcode", "hd").agg(F.count("*").alias("n"))
+    return barcodes.corrected(view(spark, d, "reads"), barcode_expansion(spark, d), "rx").groupBy("barcode", "hd").agg(F.count("*").alias("n"))
 
 
 @q(
     "demultiplex",
-    """SELECT read_index, substr(r1, 1, 3) AS rx, substr(r1, 4, 8) AS raw_barcode, substr(r1, 12) AS rest1, substr(r2, 7) AS rest2 FROM (SELECT read_index, rx || rx || 'ACGTT' || contig AS r1, gn || cigar AS r2 FROM reads)""",
+    """WITH w AS (SELECT DISTINCT 'ACG' || rx || 'TT' AS barcode, ascii(substr(rx, 2, 1)) * 10 + ascii(substr(rx, 3, 1)) AS i FROM reads WHERE substr(rx, 1, 1) = 'A' AND substr(rx, 3, 1) IN ('A', 'C')),
+ p AS (SELECT read_index, substr(r1, 1, 3) AS rx, substr(r1, 4, 8) AS raw_barcode, substr(r1, 12) AS rest1, substr(r2, 7) AS rest2 FROM (SELECT read_index, rx || 'ACG' || rx || 'TT' || contig AS r1, gn || cigar AS r2 FROM reads)),
+ m AS (SELECT raw_barcode, barcode, i, len(list_filter(range(1, 9), lambda k: substr(raw_barcode, k, 1) <> substr(barcode, k, 1))) AS hd FROM (SELECT DISTINCT raw_barcode FROM p), w),
+ b AS (SELECT * FROM m WHERE hd <= 1 QUALIFY hd = min(hd) OVER (PARTITION BY raw_barcode) AND count(*) OVER (PARTITION BY raw_barcode, hd) = 1)
+ SELECT read_index, rx, raw_barcode, barcode, i AS "index", hd, rest1, rest2, CASE WHEN barcode IS NULL THEN 'barcode' END AS rr FROM p LEFT JOIN b USING (raw_barcode)""",
     "reads",
 )
 def demultiplex(spark, d):
-    pairs = view(spark, d, "reads").select("read_index", F.concat("rx", "rx", F.lit("ACGTT"), "contig").alias("r1"), F.concat("gn", "cigar").alias("r2"))
-    none = spark.createDataFrame([("ACGTACGT", "ACGTACGT", 1, 0)], "observed string, barcode string, index int, hd int")
-    return barcodes.demultiplexed(pairs, barcodes.LAYOUTS["scCHIC384C8U3"], none).select("read_index", "rx", "raw_barcode", "rest1", "rest2")
+    pairs = view(spark, d, "reads").select("read_index", F.concat("rx", F.lit("ACG"), "rx", F.lit("TT"), "contig").alias("r1"), F.concat("gn", "cigar").alias("r2"))
+    known = barcodes.expanded(_whitelist(spark, d).withColumn("barcode", F.concat(F.lit("ACG"), "barcode", F.lit("TT"))), 1)
+    return barcodes.demultiplexed(pairs, barcodes.LAYOUTS["scCHIC384C8U3"], known).select("read_index", "rx", "raw_barcode", "barcode", "index", "hd", "rest1", "rest2", "rr")
 
 
 # -- calls ------------------------------------------------------------------------------------------------------------
@@ -469,9 +465,9 @@ def likelihood_call(spark, d):
     return calls.likelihood_call(_bases(spark, d), "contig", "pos").select("contig", "pos", "base", "log_likelihood")
 
 
-@q("covariates", f"WITH {_BASES} SELECT qual, is_read2, CAST(floor(cycle / 3.0) AS BIGINT) AS cycle_bin, context, count(*) AS n, count(*) FILTER (base <> ref) AS errors FROM b GROUP BY ALL", "reads")
+@q("covariates", f"WITH {_BASES} SELECT qual, is_read2, CAST(floor(cycle / 3.0) AS BIGINT) AS cycle_bin, context, count(*) AS n, count(*) FILTER (base <> ref) AS errors, CAST(round_even(least(60, -10 * log10((count(*) FILTER (base <> ref) + 1.0) / (count(*) + 2.0))), 0) AS INT) AS observed_quality FROM b GROUP BY ALL", "reads")
 def covariates(spark, d):
-    return calls.covariates(_bases(spark, d), 3).drop("observed_quality")
+    return calls.covariates(_bases(spark, d), 3)
 
 
 _CALLS = "c AS (SELECT sm, contig, start_ % 100 AS pos, CASE substr(rx, 1, 1) WHEN 'A' THEN 'z' WHEN 'C' THEN 'Z' WHEN 'G' THEN 'x' ELSE '.' END AS symbol FROM reads)"
@@ -536,8 +532,11 @@ def informative_alleles(spark, d):
     "reads", "features",
 )
 def gene_counts(spark, d):
-    hit = intervals.points_in(view(spark, d, "reads"), view(spark, d, "features"))
-    annotated = hit.groupBy("sm", "read_index").agg(F.collect_set("gene").alias("genes"))
+    # A gene's overlapping features are one interval; what is left of several hits of a gene is taken once.
+    f = view(spark, d, "features").withColumn("_end", F.col("f_end") + 1)
+    genes = windows.merged_ranges(f, "f_start", "_end", "contig", "gene").select("contig", "gene", F.col("start_").alias("f_start"), (F.col("end_") - 1).alias("f_end"))
+    hit = intervals.points_in(view(spark, d, "reads").select("sm", "read_index", "contig", "ds"), genes)
+    annotated = hit.groupBy("sm", "read_index").agg(F.array_distinct(F.collect_list("gene")).alias("genes"))
     return calls.gene_counts(annotated, "sm").withColumn("n", F.round("n", 6))
 
 
@@ -567,13 +566,13 @@ def introns(spark, d):
 
 @q(
     "copy_number",
-    """WITH n AS (SELECT sm, CAST(floor(start_ / 20000.0) AS BIGINT) AS bin, count(*) AS n FROM reads GROUP BY ALL), k AS (SELECT n.* FROM n JOIN (SELECT sm FROM n GROUP BY sm HAVING sum(n) > 20) USING (sm)),
+    """WITH n AS (SELECT sm, contig || ':' || CAST(floor(start_ / 20000.0) AS BIGINT) AS bin, count(*) AS n FROM reads GROUP BY ALL), k AS (SELECT n.* FROM n JOIN (SELECT sm FROM n GROUP BY sm HAVING sum(n) > 20) USING (sm)),
  b AS (SELECT k.* FROM k JOIN (SELECT bin FROM k GROUP BY bin HAVING quantile_cont(n, 0.5) <> 0) USING (bin)), s AS (SELECT sm, quantile_cont(n, 0.9) AS qq, quantile_cont(n, 0.5) AS m FROM b GROUP BY sm HAVING quantile_cont(n, 0.5) > 0)
  SELECT sm, bin, round(least(4.0, least(n, qq) * 2 / m), 6) AS copies FROM b JOIN s USING (sm)""",
     "reads",
 )
 def copy_number(spark, d):
-    n = view(spark, d, "reads").groupBy("sm", F.floor(F.col("start_") / 20000.0).alias("bin")).agg(F.count("*").alias("n"))
+    n = view(spark, d, "reads").groupBy("sm", F.concat("contig", F.lit(":"), F.floor(F.col("start_") / 20000.0).cast("string")).alias("bin")).agg(F.count("*").alias("n"))
     return calls.copy_number(n, "sm", 20, 4.0, 0.9).withColumn("copies", F.round("copies", 6))
 
 
@@ -602,11 +601,11 @@ def mapq_histogram(spark, d):
 
 @q(
     "library_cascade",
-    """SELECT ly, contig, CASE WHEN unmapped THEN 'unmapped' WHEN qcfail THEN 'qcfail' WHEN duplicate THEN 'duplicate' WHEN proper AND is_read1 AND mapq >= 50 AND nm <= 2 AND NOT regexp_matches(cigar, '[ISD]') THEN 'safe' ELSE 'pass' END AS kind, count(*) AS n FROM reads GROUP BY ALL""",
+    """SELECT ly, contig, CASE WHEN unmapped THEN 'unmapped' WHEN qcfail THEN 'qcfail' WHEN duplicate THEN 'duplicate' WHEN proper AND is_read1 AND mapq + 10 >= 60 AND coalesce(nullif(nm, 3) <= 2, true) AND NOT regexp_matches(cigar, '[ISD]') THEN 'safe' ELSE 'pass' END AS kind, count(*) AS n FROM reads GROUP BY ALL""",
     "reads",
 )
 def library_cascade(spark, d):
-    return statistics.cascade(view(spark, d, "reads"), "ly", "contig")
+    return statistics.cascade(view(spark, d, "reads").withColumns({"mapq": F.col("mapq") + 10, "nm": F.nullif(F.col("nm"), F.lit(3))}), "ly", "contig")
 
 
 @q(

@@ -164,13 +164,13 @@ def copy_number_segments(spark, d):
 
 @q(
     "copy_number_clones",
-    """WITH p AS (SELECT sm, contig, CAST(round(sum(CASE WHEN NOT duplicate THEN 0.0 ELSE 0 END)) AS BIGINT) + 2 AS copies FROM reads GROUP BY ALL), k AS (SELECT sm, string_agg(contig || copies, ',' ORDER BY contig) AS k FROM p GROUP BY sm),
+    """WITH p AS (SELECT sm, contig, CAST(round_even(count(*) / 500.0, 0) AS BIGINT) AS copies FROM reads GROUP BY ALL), k AS (SELECT sm, string_agg(contig || copies, ',' ORDER BY contig) AS k FROM p GROUP BY sm),
  c AS (SELECT k, count(*) AS cells, min(sm) AS clone FROM k GROUP BY k HAVING count(*) >= 2) SELECT sm, clone, cells FROM k JOIN c USING (k)""",
     "reads",
 )
 def copy_number_clones(spark, d):
-    seen = view(spark, d, "reads").select("sm", "contig").distinct()
-    return segmentation.clones(seen.select("sm", "contig", F.lit(0).alias("bin"), F.lit(2.2).alias("copies")), 2)
+    n = view(spark, d, "reads").groupBy("sm", "contig").agg((F.count("*") / 500.0).alias("copies"))
+    return segmentation.clones(n.withColumn("bin", F.lit(0)), 2)
 
 
 # -- statistics -------------------------------------------------------------------------------------------------------

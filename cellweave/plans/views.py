@@ -17,7 +17,7 @@ SELECT l_orderkey * 10 + l_linenumber AS read_index,
   'chr' || CAST(l_suppkey % 5 + 1 AS VARCHAR(20)) AS contig,
   (l_partkey * 37 + l_linenumber * 11) % 100000 AS start_,
   (l_partkey * 37 + l_linenumber * 11) % 100000 + 20 + l_linenumber * 5 AS end_,
-  (l_orderkey + l_linenumber) % 2 = 1 AS is_reverse, l_linenumber % 2 = 1 AS is_read1, CAST(l_linenumber * 17 % 61 AS INT) AS mapq,
+  (l_orderkey + l_linenumber) % 2 = 1 AS is_reverse, l_linenumber % 2 = 1 AS is_read1, l_linenumber % 2 = 0 AND l_linenumber <> 6 AS is_read2, CAST(l_linenumber * 17 % 61 AS INT) AS mapq,
   'LIB' || CAST(l_suppkey % 3 AS VARCHAR(20)) || '_' || CAST(l_orderkey % 24 + 1 AS VARCHAR(20)) AS sm, 'LIB' || CAST(l_suppkey % 3 AS VARCHAR(20)) AS ly,
   {_base(16)} || {_base(4)} || {_base(1)} AS rx,
   CAST(l_linenumber % 4 AS INT) AS nm, CAST(1 + l_linenumber % 3 AS INT) AS nh,

@@ -13,7 +13,7 @@ def write_matrix(matrix: DataFrame, path: str) -> None:
 def write_bedgraph(bins: DataFrame, contigs: DataFrame, path: str, value: str = "n") -> None:
     """contig, start, end, value lines; a bin's end is clipped to the contig."""
     lengths = contigs.select(F.col("contig").alias("_c"), "length_")
-    rows = bins.join(F.broadcast(lengths), F.col("contig") == F.col("_c")).withColumn("bin_end", F.least("bin_end", F.col("length_") - 1))
+    rows = bins.join(lengths, F.col("contig") == F.col("_c")).withColumn("bin_end", F.least("bin_end", F.col("length_") - 1))
     rows.sort("contig", "bin_start").select(F.concat_ws("\t", "contig", "bin_start", "bin_end", value).alias("value")).write.mode("overwrite").text(path)
 
 

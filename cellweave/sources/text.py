@@ -91,6 +91,8 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     names = lines.where(F.col("value").startswith("#CHROM")).select(F.slice(F.split("value", "\t"), 10, 100_000).alias("s")).first()
     c = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(c.alias("c"))
+    if names is None:
+        raise ValueError(f"{path} has no #CHROM line")
     samples = F.array(*[F.lit(x) for x in names.s])
     each = rows.select("c", F.explode(F.arrays_zip(samples.alias("sample"), F.slice("c", 10, 100_000).alias("call"))).alias("x"))
     gt = F.substring_index(F.col("x.call"), ":", 1)

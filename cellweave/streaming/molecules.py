@@ -1,7 +1,8 @@
 """Molecules over a stream of coordinate-sorted reads, and windowed counts of events.
 
-A read's end stands for event time: one second a base. A molecule leaves the state when the watermark has passed its
-span by the cache radius, and it is emitted then; later reads of it begin a new one."""
+A read's end stands for event time, one second a base, after all contigs before its own: contigs follow one another on one
+axis. A molecule leaves the state when the watermark has passed its span by the cache radius, or its contig, and it is
+emitted then; later reads of it begin a new one."""
 
 from __future__ import annotations
 
@@ -18,9 +19,22 @@ OUTPUT = "sm string, contig string, is_reverse boolean, molecule long, umi strin
 STATE = "molecules string"
 
 
-def streamed(reads: DataFrame, radius: int = 0, hamming: int = 0, cache: int = 10_000) -> DataFrame:
-    """Emitted molecules of a stream with columns sm, contig, is_reverse, site, end_, rx and read_index."""
-    timed = reads.withColumn("_t", F.timestamp_seconds("end_")).withWatermark("_t", "0 seconds")
+def offsets(contigs: list[tuple[str, int]], apart: int) -> dict[str, int]:
+    """Where each contig (name, length), in the order of the file, begins on the axis of all."""
+    out, at = {}, 0
+    for name, length in contigs:
+        out[name] = at
+        at += length + apart
+    return out
+
+
+def streamed(reads: DataFrame, contigs: list[tuple[str, int]], radius: int = 0, hamming: int = 0, cache: int = 10_000) -> DataFrame:
+    """Emitted molecules of a stream with columns sm, contig, is_reverse, site, end_, rx and read_index, sorted by contig (in
+    the order of contigs, which is that of the file's header) and coordinate. A contig that is not listed is an error."""
+    begin = offsets(contigs, cache)
+    where = F.map_from_arrays(F.array(*[F.lit(c) for c in begin]), F.array(*[F.lit(v).cast("long") for v in begin.values()]))
+    at = F.coalesce(F.try_element_at(where, F.col("contig")), F.raise_error(F.concat(F.lit("a contig that is not listed: "), F.col("contig"))).cast("long"))
+    timed = reads.withColumn("_t", F.timestamp_seconds(at + F.col("end_"))).withWatermark("_t", "0 seconds")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import json
@@ -37,12 +51,12 @@ def streamed(reads: DataFrame, radius: int = 0, hamming: int = 0, cache: int = 1
                         break
                 else:
                     held.append([r, p, p, e, {u: 1}])
-        now = state.getCurrentWatermarkMs() // 1000
+        now = state.getCurrentWatermarkMs() // 1000 - begin[key[1]]  # on the contig's own axis
         gone = [m for m in held if m[3] + cache // 2 <= now]
         held = [m for m in held if m[3] + cache // 2 > now]
         if held:
             state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(max(now + 1, min(m[3] for m in held) + cache // 2) * 1000)
+            state.setTimeoutTimestamp((begin[key[1]] + max(now + 1, min(m[3] for m in held) + cache // 2)) * 1000)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(

@@ -108,3 +108,52 @@ def taps_context(ref3: Column, observed: Column, forward: Column) -> Column:
     converted = F.when(forward, observed == "T").otherwise(observed == "A")
     plain = F.when(forward, observed == "C").otherwise(observed == "G")
     return F.coalesce(F.when(converted, F.upper(kind)).when(plain, kind), F.lit("."))
+
+
+def md_tag(ref: Column, seq: Column) -> Column:
+    """The MD string of two sequences of aligned bases: numbers of equal bases between the reference bases that differ; no zeros."""
+    marks = F.zip_with(F.split(F.upper(ref), ""), F.split(seq, ""), lambda a, b: F.when(a == "", "").when(a == b, "=").otherwise(a))
+    text = F.array_join(marks, "")
+    runs = F.regexp_extract_all(text, F.lit("(=+|[^=])"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.startswith("="), F.length(x).cast("string")).otherwise(x)), "")
+
+
+def valid_file_name(c: Column) -> Column:
+    """What may stand in a file name: spaces become underscores, other signs go."""
+    return F.regexp_replace(F.regexp_replace(F.trim(c), " ", "_"), r"[^\w\-.]", "")
+
+
+# The letters that stand for qualities 0 to 51 in a header.
+_QUALITY_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_QUALITY_SIGNS = "".join(chr(33 + i) for i in range(len(_QUALITY_LETTERS)))
+
+
+def qualities_to_letters(q: Column) -> Column:
+    """Phred+33 qualities as letters that a header can hold; what is over the last letter's quality is that letter."""
+    beyond = "".join(chr(33 + i) for i in range(len(_QUALITY_LETTERS), 94))
+    return F.translate(q, _QUALITY_SIGNS + beyond, _QUALITY_LETTERS + _QUALITY_LETTERS[-1] * len(beyond))
+
+
+def letters_to_qualities(c: Column) -> Column:
+    return F.translate(c, _QUALITY_LETTERS, _QUALITY_SIGNS)
+
+
+def differing_places(a: Column, b: Column) -> Column:
+    """Places, from 0, at which two sequences differ, over the shorter length."""
+    pairs = F.arrays_zip(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
+    each = F.transform(pairs, lambda p, i: F.when(p["a"].isNotNull() & p["b"].isNotNull() & (p["a"] != p["b"]), i))
+    return F.filter(each, lambda i: i.isNotNull())
+
+
+def file_type(path: Column) -> Column:
+    """fa, gtf, bed, vcf, bam, fastq or unknown, by a path's ending; a .gz at its end does not count."""
+    name, out = F.regexp_replace(F.lower(path), r"\.gz$", ""), F.lit("unknown")
+    for kind, ends in (("fastq", r"\.(fastq|fq)$"), ("bam", r"\.bam$"), ("vcf", r"\.vcf$"), ("bed", r"\.bed$"), ("gtf", r"\.(gtf|gff3?)$"), ("fa", r"\.(fa|fasta)$")):
+        out = F.when(name.rlike(ends), kind).otherwise(out)
+    return out
+
+
+def base_in_context(context: Column, base: Column) -> Column:
+    """A context of odd length with another base in its middle."""
+    k = ((F.length(context) - 1) / 2).cast("int")
+    return F.concat(F.substr(context, F.lit(1), k), base, F.substr(context, k + 2))

@@ -35,11 +35,14 @@ def _rake_rows(cells: list[tuple], targets: list[dict], rounds: int) -> list[flo
     return w
 
 
-def _rake_frame(cells: DataFrame, power: float, rounds: int) -> DataFrame:
+def _rake_frame(cells: DataFrame, power: float, rounds: int, given: dict[str, dict]) -> DataFrame:
     """The same over a frame (margins, _tokens): adds _w."""
     cells = cells.withColumn("_w", F.col("_tokens").cast("double"))
     for m in MARGINS:
         raw = cells.groupBy(m).agg(F.pow(F.sum("_tokens").cast("double"), F.lit(power)).alias(f"_t_{m}"))
+        if m in given:
+            wanted = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given[m].items()], "_g string, _v double")
+            raw = raw.join(wanted, F.col(m).eqNullSafe(F.col("_g")), "left").select(m, F.coalesce("_v", F.lit(0.0)).alias(f"_t_{m}"))
         norm = raw.agg(F.sum(f"_t_{m}").alias("s")).first().s or 1.0
         raw = raw.withColumnRenamed(m, f"_k_{m}").withColumn(f"_t_{m}", F.col(f"_t_{m}") / norm)
         cells = cells.join(raw, F.col(m).eqNullSafe(F.col(f"_k_{m}"))).drop(f"_k_{m}")
@@ -52,10 +55,12 @@ def _rake_frame(cells: DataFrame, power: float, rounds: int) -> DataFrame:
     return cells
 
 
-def mix(docs: DataFrame, power: float = 0.9, rounds: int = 25, seed: int = 1, topic: Column | None = None, driver_cells: int = DRIVER_CELLS, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, power: float = 0.9, rounds: int = 25, seed: int = 1, topic: Column | None = None, driver_cells: int = DRIVER_CELLS, keep: tuple[str, ...] = (), targets: dict[str, dict] | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, kept) of every document, and the columns keep.
 
-    Each margin (source, language, topic) has as its target its token share to the power given, normalised. Tokens are
+    targets gives the weights wanted of a margin's values ({"source": {"web": 3, None: 1}, ...}; null is a value, what is not
+    named is wanted not at all); a margin that it does not have aims at its token share to the power given. Both are
+    normalised over the values at hand. topic is the column of the topic, or an expression of it. Tokens are
     words of whole texts, one at least for a document. Token weights of the cells (source, lang, topic) are raked to the
     three margins in turn for a fixed number of rounds. weight is the cell's raked share over its own share of tokens;
     probability is weight over the largest weight, so that the expected tokens of what is kept stand in the raked
@@ -64,6 +69,7 @@ def mix(docs: DataFrame, power: float = 0.9, rounds: int = 25, seed: int = 1, to
     Nulls are values of their own in every margin; null texts have one token and the topic 'prose'; a null doc_id is
     hashed as empty. Repeated rows get the same decision. An empty table gives no rows. A large cell is only ever a
     sum. Other columns are ignored."""
+    given = targets or {}
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id"), F.col("source"), F.col("lang"), (topic if topic is not None else topic_of(body)).alias("topic"),
@@ -73,22 +79,22 @@ def mix(docs: DataFrame, power: float = 0.9, rounds: int = 25, seed: int = 1, to
     spark = docs.sparkSession
     if cells.count() <= driver_cells:
         got = sorted((tuple(r) for r in cells.collect()), key=repr)
-        targets = []
+        aims = []
         for m in range(len(MARGINS)):
             total: dict = {}
             for c in got:
                 total[c[m]] = total.get(c[m], 0) + c[-1]
-            raised = {k: float(v) ** power for k, v in total.items()}
-            norm = sum(raised.values())
-            targets.append({k: v / norm for k, v in raised.items()})
-        raked = _rake_rows(got, targets, rounds)
+            raised = {k: float(v) ** power for k, v in total.items()} if MARGINS[m] not in given else {k: float(given[MARGINS[m]].get(k, 0.0)) for k in total}
+            norm = sum(raised.values()) or 1.0
+            aims.append({k: v / norm for k, v in raised.items()})
+        raked = _rake_rows(got, aims, rounds)
         tokens = sum(c[-1] for c in got)
         ratio = [w / (c[-1] / tokens) for c, w in zip(got, raked, strict=True)]
-        top = max(ratio, default=1.0)
+        top = max(ratio, default=1.0) or 1.0
         table = [(*c[:-1], r, r / top) for c, r in zip(got, ratio, strict=True)]
         chance = F.broadcast(spark.createDataFrame(table, "c_source string, c_lang string, c_topic string, weight double, probability double"))
     else:
-        raked = _rake_frame(cells, power, rounds)
+        raked = _rake_frame(cells, power, rounds, given)
         tokens = raked.agg(F.sum("_tokens").alias("t")).first().t
         raked = raked.withColumn("weight", F.col("_w") / (F.col("_tokens") / tokens))
         top = raked.agg(F.max("weight").alias("t")).first().t

@@ -8,8 +8,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: sixteen or more characters of keys, a digit among them.
-CANDIDATE = r"(?=[A-Za-z+/_=\-]*[0-9])[A-Za-z0-9+/_=\-]{16,}"
+#: A candidate: sixteen or more characters of keys with their padding, or a dotted token. Runs are taken whole, so that a text
+#: is read once, however long they are.
+CANDIDATE = r"eyJ[A-Za-z0-9_\-]++(?:\.[A-Za-z0-9_\-]++){1,2}|[A-Za-z0-9+/_\-]{16,}+={0,2}"
 #: Labelled findings that a fit takes at most.
 TRAIN_ROWS = 20_000
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -31,7 +32,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     """(key, word, nth, candidate, raw, before, after, path): every candidate of every whitespace-separated word, with the two
     words before and the one after. word is the place in the text and nth the place among the word's candidates, from 0. raw is
     the candidate with the text between it and its neighbours in the word; a name after it belongs to the next one. Null
-    texts have none."""
+    texts have none. A run of letters alone is a candidate only where a name of a key stands before it."""
     rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path"), F.col(text).alias("_text")).where(F.col("_text").rlike(CANDIDATE))
     words = F.split(F.trim(F.regexp_replace("_text", _SPLIT, " ")), " ")
 
@@ -54,6 +55,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     out = out.select(key, "path", "h", F.size("_c").alias("_n"), F.posexplode(each).alias("nth", "m")).where("m.c is not null")
     right = F.when(F.col("nth") + 1 < F.col("_n"), F.regexp_extract("m.right", "^[^A-Za-z0-9]*", 0)).otherwise(F.col("m.right"))
     raw = F.concat("m.left", "m.c", right)
+    named = F.concat_ws(" ", F.col("h.before"), F.col("m.left")).rlike(_any(KEY_WORDS) + r"[A-Za-z0-9_\-]*[\"']?\s*[:=]+\s*[\"']?$")
+    out = out.where(F.col("m.c").rlike("[0-9]") | named)
     return out.select(key, F.col("h.word").alias("word"), "nth", F.col("m.c").alias("candidate"), raw.alias("raw"), F.col("h.before").alias("before"), F.col("h.after").alias("after"), "path")
 
 
@@ -121,6 +124,10 @@ def labelled_findings(spark: SparkSession, n: int = 240, salt: str = "train") ->
         (1, base, "", "", pick("password:", "api_key =", "secret =", "credential ="), source),
         (1, base, "password=", "", filler, source),
         (1, F.substring(long, 1, 32), "'", "',", pick("api key:", "private token"), source),
+        (1, F.concat(F.lit("eyJ"), F.substring(base, 1, 20), F.lit("."), F.substring(base, 9, 24), F.lit("."), F.substring(base, 3, 28)), "", "", pick("Bearer", "token:", "auth ="), source),
+        (1, F.concat(base, F.substring(base, 1, 32)), "", "", pick("PRIVATE KEY-----", "RSA PRIVATE KEY-----"), source),
+        (1, F.translate(F.concat(base, F.substring(base, 5, 8)), "0123456789", "QxZvKpWjXq"), '"', '"', pick("password =", "api_key =", "secret:"), source),
+        (0, F.concat(F.lit("InsertYourSecretTokenHere"), F.translate(F.substring(long, 1, 4), "0123456789", "abcdefghij")), '"', '"', pick("password =", "token =", "secret:"), source),
         (0, sha, "", "", pick("commit", "at revision", "sha1", "in commit"), source),
         (0, long, "", "", pick("sha256", "checksum", "digest:", "etag"), source),
         (0, sha, '"', '"', pick("checksum =", "commit =", "etag ="), source),

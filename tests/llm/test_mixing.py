@@ -33,3 +33,18 @@ def test_edges(docs):
     assert mixing.mix(docs.limit(0)).collect() == []
     kept = mixing.mix(docs, keep=("text",)).where("kept")
     assert "text" in kept.columns and 0 < kept.count() < len(ROWS)
+
+
+def test_given_targets(docs):
+    wanted = {"source": {"s0": 5, "s1": 1, "s3": 2, None: 2}, "lang": {"en": 1, "de": 1, None: 1}}
+    got = mixing.mix(docs, rounds=80, targets=wanted).collect()
+    tokens = sum(r.n_tokens for r in got)
+    for m, aims in wanted.items():
+        raked = {}
+        for r in got:
+            raked[r[m]] = raked.get(r[m], 0) + r.n_tokens * r.weight / tokens
+        total = sum(aims.get(k, 0) for k in raked)
+        assert all(abs(raked[k] - aims.get(k, 0) / total) < 2e-2 for k in raked)
+    assert all(not r.kept for r in got if r.source == "s2")
+    two = mixing.mix(docs, rounds=6, targets=wanted, driver_cells=0)
+    assert sorted(map(tuple, two.collect()), key=repr) == sorted(map(tuple, mixing.mix(docs, rounds=6, targets=wanted).collect()), key=repr)

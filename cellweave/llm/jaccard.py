@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.arrow import map_batches, small_batches
-from cellweave.llm.frames import components, cut, partitions, written
+from cellweave.llm.frames import collect_garbage, components, cut, partitions, written
 from cellweave.llm.words import shingles, word_hashes
 
 #: Slots of the frequency sketch, as bits; members of a shard of a large block or component; children of a tree node.
@@ -229,7 +229,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
     component unless it is linked with one that is not null. An empty table gives no rows. Other columns are not read."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_id"))
+    docs = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"))
     level = shards_by_slot(frequency_sketch(docs, n, sketch_bits), shard, frequent)
     slot_mask = np.uint64((1 << sketch_bits) - 1)
     num, den = threshold.numerator, threshold.denominator
@@ -250,7 +250,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
             out["vector"].append(np.minimum(count_vector(s, group_count(len(s))), 65535).astype("<u2").tobytes() if len(s) else None)
         return out | {"doc_id": b.column(0), "text_id": b.column(2)}
 
-    seen = written(map_batches(docs, describe, "doc_id long, text_id string, n long, key binary, prefix array<long>, vector binary"))
+    seen = written(map_batches(docs, describe, "doc_id long, text_id binary, n long, key binary, prefix array<long>, vector binary"))
     # A class has a number of its own and a head, the document whose text stands for it.
     classes = cut(
         seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_id")).alias("head"), F.count("*").alias("copies"))
@@ -352,7 +352,9 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
             yield pa.RecordBatch.from_pydict({"a": np.array(a_out, np.int64), "b": np.array(b_out, np.int64)})
 
     edges = points.repartition(parts, "block").mapInArrow(connect, "a long, b long")
+    collect_garbage(spark)
     candidate = components(edges)
+    collect_garbage(spark)
 
     # The sets of the candidates, each component together; a large one in tiles of two shards.
     sizes = candidate.groupBy("root").agg(F.count("*").alias("members"))
@@ -405,6 +407,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
             yield pa.RecordBatch.from_pydict({"class": np.array(out_id, np.int64), "links": np.array(out_links, np.int64), "to": np.array(out_to, np.int64)})
 
     checked = cut(loaded.repartition(parts, "root", "tile").mapInArrow(verify, "class long, links long, to long"))
+    collect_garbage(spark)
     linked = components(checked.select(F.col("class").alias("a"), F.col("to").alias("b")))
     links = checked.groupBy("class").agg(F.sum("links").alias("links"))
     joined = classes.join(linked.withColumnRenamed("id", "class"), "class", "left").join(links, "class", "left").withColumn("root", F.coalesce("root", "class"))

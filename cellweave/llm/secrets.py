@@ -32,7 +32,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     """(key, word, nth, candidate, raw, before, after, path): every candidate of every whitespace-separated word, with the two
     words before and the one after. word is the place in the text and nth the place among the word's candidates, from 0. raw is
     the candidate with the text between it and its neighbours in the word; a name after it belongs to the next one. Null
-    texts have none. A run of letters alone is a candidate only where a name of a key stands before it."""
+    texts have none. A run of letters alone is a candidate only where a name of a key stands before it, with up to 40 more characters of
+    the name after the word that marks it (so that long runs of such words are read in linear time)."""
     rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path"), F.col(text).alias("_text")).where(F.col("_text").rlike(CANDIDATE))
     words = F.split(F.trim(F.regexp_replace("_text", _SPLIT, " ")), " ")
 
@@ -55,7 +56,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     out = out.select(key, "path", "h", F.size("_c").alias("_n"), F.posexplode(each).alias("nth", "m")).where("m.c is not null")
     right = F.when(F.col("nth") + 1 < F.col("_n"), F.regexp_extract("m.right", "^[^A-Za-z0-9]*", 0)).otherwise(F.col("m.right"))
     raw = F.concat("m.left", "m.c", right)
-    named = F.concat_ws(" ", F.col("h.before"), F.col("m.left")).rlike(_any(KEY_WORDS) + r"[A-Za-z0-9_\-]*[\"']?\s*[:=]+\s*[\"']?$")
+    named = F.concat_ws(" ", F.col("h.before"), F.col("m.left")).rlike(_any(KEY_WORDS) + r"[A-Za-z0-9_\-]{0,40}[\"']?\s*[:=]+\s*[\"']?$")
     out = out.where(F.col("m.c").rlike("[0-9]") | named)
     return out.select(key, F.col("h.word").alias("word"), "nth", F.col("m.c").alias("candidate"), raw.alias("raw"), F.col("h.before").alias("before"), F.col("h.after").alias("after"), "path")
 

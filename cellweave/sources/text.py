@@ -99,6 +99,38 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.col("c")[0].alias("contig"), F.col("c")[1].cast("long").alias("pos"), F.col("c")[3].alias("ref"), F.explode(F.split(F.col("c")[4], ",")).alias("alt"), F.col("x.sample").alias("sample"), gt.alias("gt"))
 
 
+def variant_columns(spark: SparkSession, path: str, contig: str | None = None) -> DataFrame:
+    """(contig, pos from 0, base, allele) of plain lines of contig, position from 1, id, ref and alt: two rows a line, the
+    reference's base as REF and the other as ALT. Lines of other than five fields are an error."""
+    c = F.split(F.trim("value"), r"\s+")
+    rows = _lines(spark, path).select(F.when(F.size(c) == 5, c).otherwise(F.raise_error(F.concat(F.lit("not five fields: "), "value"))).alias("c"))
+    if contig is not None:
+        rows = rows.where(F.col("c")[0] == contig)
+    both = F.array(F.struct(F.col("c")[3].alias("base"), F.lit("REF").alias("allele")), F.struct(F.col("c")[4].alias("base"), F.lit("ALT").alias("allele")))
+    return rows.select(F.col("c")[0].alias("contig"), (F.col("c")[1].cast("long") - 1).alias("pos"), F.inline(both)).distinct()
+
+
+def bed_bins(spark: SparkSession, path: str, contig: str | None = None) -> DataFrame:
+    """(contig, bin_start, bin_end) of the first three columns of every line of a BED file."""
+    c = F.split(F.trim("value"), r"\s+")
+    rows = _lines(spark, path).select(c[0].alias("contig"), c[1].cast("long").alias("bin_start"), c[2].cast("long").alias("bin_end"))
+    return rows if contig is None else rows.where(F.col("contig") == contig)
+
+
+def used_contigs(reads: DataFrame) -> DataFrame:
+    """(contig): the contigs that have reads."""
+    return reads.where("contig is not null").select("contig").distinct()
+
+
+def count_matrix(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """(feature, cell, n) of a matrix with a header of cells and features in its first column; empty cells give no rows."""
+    wide = spark.read.option("header", True).option("sep", separator).csv(path)
+    first, *cells = wide.columns
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    each = F.array(*[F.struct(F.lit(c).alias("cell"), F.col(quoted(c)).cast("double").alias("n")) for c in cells])
+    return wide.select(F.col(quoted(first)).alias("feature"), F.inline(each)).where("n is not null")
+
+
 def fasta(spark: SparkSession, path: str, width: int = 1 << 20) -> DataFrame:
     """(contig, chunk_start, seq): the reference in chunks of width, so that a position finds its base by an equality join."""
     rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")

@@ -157,3 +157,23 @@ def base_in_context(context: Column, base: Column) -> Column:
     """A context of odd length with another base in its middle."""
     k = ((F.length(context) - 1) / 2).cast("int")
     return F.concat(F.substr(context, F.lit(1), k), base, F.substr(context, k + 2))
+
+
+def inverted_strand(strand: Column) -> Column:
+    return F.when(strand == "+", "-").when(strand == "-", "+").otherwise(".")
+
+
+def cell_name(name: Column) -> Column:
+    """(replicate, passage, plate, cell) of a cell's name, 'replicate_passage_plate_cellN' or 'replicate-Ppassage-plate_cellN'.
+
+    In the second form a plate loses its letters s and the mark NLAP, and L in it stands for a dash; names with APKS1P25 are
+    replicate APKS1 at passage 25, with a dash between the letters of their plate."""
+    under, dash = F.split(name, "_"), F.split(F.split_part(name, F.lit("_"), F.lit(1)), "-")
+    of = lambda r, p, l, c: F.struct(r.alias("replicate"), p.try_cast("int").alias("passage"), l.alias("plate"), c.try_cast("int").alias("cell"))  # noqa: E731, E741
+    old = name.contains("APKS1P25")
+    letters = F.array_join(F.filter(F.split(F.regexp_replace(F.get(dash, F.lit(1)), "NLAP|L|s", ""), ""), lambda c: c != ""), "-")
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.array_join(F.slice(dash, 3, 1000), "-"), "s", ""), "NLAP", ""), "L", "-")
+    cell = F.when(name.contains("cell"), F.substring_index(name, "cell", -1)).otherwise(F.substring_index(name, "_", -1))
+    plain = of(F.get(dash, F.lit(0)), F.regexp_replace(F.get(dash, F.lit(1)), "P", ""), rest, cell)
+    parts = [F.get(under, F.lit(k)) for k in range(4)]
+    return F.when(F.size(under) == 4, of(parts[0], parts[1], parts[2], F.regexp_replace(parts[3], "cell", ""))).when(old, of(F.lit("APKS1"), F.lit("25"), letters, cell)).otherwise(plain)

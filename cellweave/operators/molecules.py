@@ -129,3 +129,18 @@ def reactions(fragments: DataFrame, molecule: list[str], primer: list[str]) -> D
     rt = F.dense_rank().over(Window.partitionBy(*molecule).orderBy(*primer)) - 1
     rd = F.row_number().over(Window.partitionBy(*molecule, *primer).orderBy("read_index")) - 1
     return fragments.withColumns({"rt": rt, "rd": rd})
+
+
+def filtered(
+    molecules_: DataFrame, fragments: tuple[int | None, int | None] = (None, None), mapq: tuple[int | None, int | None] = (None, None), reactions_: tuple[int | None, int | None] = (None, None),
+    span: tuple[int | None, int | None] = (None, None), both_mates: bool = False,
+) -> DataFrame:
+    """Molecules whose columns fragments, max_mapq, reactions and span lie between bounds (None: no bound), with a fragment of two
+    mates (column has_both) where asked. A null fails every bound."""
+    keep = F.lit(True)
+    for column, (low, high) in (("fragments", fragments), ("max_mapq", mapq), ("reactions", reactions_), ("span", span)):
+        if low is not None:
+            keep = keep & (F.col(column) >= low)
+        if high is not None:
+            keep = keep & (F.col(column) <= high)
+    return molecules_.where(keep & F.col("has_both") if both_mates else keep)

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """The modules whose import registers queries."""
-    from cellweave.plans import genomics, library, reports, sites, variation  # noqa: F401
+    from cellweave.plans import genomics, library, models, reports, sites, variation  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

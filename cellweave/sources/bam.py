@@ -1,7 +1,8 @@
-"""BAM files: alignments decoded from BGZF blocks, a file at a time and a batch of rows at a time."""
+"""BAM files: alignments decoded from BGZF blocks, a file at a time and a batch of rows at a time, and written in sorted parts."""
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -126,3 +127,106 @@ def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"file": [at] * len(found), "contig": [c for c, _ in found], "length_": [n for _, n in found]})
 
     return _files(spark, path).mapInPandas(work, "file string, contig string, length_ long")
+
+
+# -- writing ----------------------------------------------------------------------------------------------------------
+
+# Fixed values of the format: a block's header but for its size, the empty block that ends a file, and the bins' levels.
+_BLOCK = bytes.fromhex("1f8b08040000000000ff060042430200")
+_EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+_BINS = ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1))
+#: Tags written as numbers; all others are written as text.
+NUMERIC_TAGS = ("NM", "NH", "AS", "XS", "DS", "RC", "af", "rd", "rt", "fS", "fe", "TF")
+#: Alignments in a part.
+PART = 200_000
+
+
+def _blocks(data: bytes) -> bytes:
+    out = bytearray()
+    for i in range(0, len(data), 65_000):
+        part = data[i : i + 65_000]
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packer.compress(part) + packer.flush()
+        out += _BLOCK + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return bytes(out)
+
+
+def _bin(start: int, end: int) -> int:
+    for shift, first in _BINS:
+        if start >> shift == (end - 1) >> shift:
+            return first + (start >> shift)
+    return 0
+
+
+def _encoded(r, numeric: frozenset[str]) -> bytes:
+    """An alignment's bytes; r has the fields of SCHEMA, with the contigs as numbers."""
+    ops = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", r.cigar or "")]
+    span = sum(n for n, op in ops if op in "MDN=X")
+    seq = "" if r.seq in (None, "*") else r.seq
+    codes = [max(BASES.find(c), 0) if c == "=" or c in BASES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
+    qual = b"\xff" * len(seq) if r.qual in (None, "*") else bytes(ord(c) - 33 for c in r.qual)
+    name = (r.query_name or "*").encode() + b"\0"
+    tags = bytearray()
+    for k, v in sorted((r.tags or {}).items() if isinstance(r.tags, dict) else r.tags or []):
+        if v is None:
+            continue
+        number = k in numeric and re.fullmatch(r"-?\d{1,9}", v)
+        tags += k.encode() + (b"i" + struct.pack("<i", int(v)) if number else b"Z" + v.encode() + b"\0")
+    start = max(int(r.start_), -1)
+    fixed = struct.pack("<iiBBHHHiiii", int(r.ref), start, len(name), int(r.mapq), _bin(max(start, 0), max(start, 0) + max(span, 1)), len(ops), int(r.flag), len(seq), int(r.mate), int(r.mate_start), int(r.isize))
+    body = fixed + name + b"".join(struct.pack("<I", n << 4 | OPERATIONS.index(op)) for n, op in ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + qual + bytes(tags)
+    return struct.pack("<i", len(body)) + body
+
+
+def header_text(contigs: list[tuple[str, int]], read_groups: list[dict[str, str]] = (), program: dict[str, str] | None = None) -> str:
+    lines = ["@HD\tVN:1.6\tSO:coordinate", *[f"@SQ\tSN:{c}\tLN:{n}" for c, n in contigs]]
+    lines += ["\t".join(["@RG", *[f"{k}:{v}" for k, v in g.items()]]) for g in read_groups]
+    if program:
+        lines.append("\t".join(["@PG", *[f"{k}:{v}" for k, v in program.items()]]))
+    return "\n".join(lines) + "\n"
+
+
+def write_bam(reads: DataFrame, contigs: DataFrame, path: str, read_groups: list[dict[str, str]] = (), program: dict[str, str] | None = None, numeric_tags: tuple[str, ...] = NUMERIC_TAGS, part: int = PART) -> None:
+    """A folder of BAM files, each whole and sorted, which follow one another in the genome by their names (K2).
+
+    reads has the fields of SCHEMA but for file and end_; contigs (contig, length_) gives the header's order. Alignments
+    without a contig, or of one that contigs does not have, come last as unplaced. Sorting is by ranges of the genome, a
+    part has at most part alignments, and a task holds one part; quality and tags may be null. Spark's text writer puts
+    out a part's bytes as they are: its line separator is the empty block that ends a BAM file."""
+    spark = reads.sparkSession
+    names = [(r.contig, r.length_) for r in contigs.select("contig", "length_").collect()]
+    text = header_text(names, read_groups, program).encode()
+    head = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(names))
+    head += b"".join(struct.pack("<i", len(c.encode()) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in names)
+    order = spark.createDataFrame([(c, k) for k, (c, _) in enumerate(names)], "_c string, _k int")
+    numbered = reads
+    for column, number in (("contig", "ref"), ("mate_contig", "mate")):
+        numbered = numbered.join(order, F.col(column) == F.col("_c"), "left").withColumn(number, F.coalesce("_k", F.lit(-1))).drop("_c", "_k")
+    zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    rows = numbered.select("query_name", zero("flag", 0), "ref", zero("start_", -1), zero("mapq", 255), "cigar", "mate", zero("mate_start", -1), zero("isize", 0), "seq", "qual", "tags")
+    last = F.col("ref") < 0
+    ranges = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), last, "ref", "start_", "query_name").sortWithinPartitions(last, "ref", "start_", "query_name", "flag")
+    numeric = frozenset(numeric_tags)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = bytearray(), 0
+        for f in batches:
+            for r in f.itertuples(index=False):
+                held += _encoded(r, numeric)
+                n += 1
+                if n == part:
+                    yield pd.DataFrame({"value": [_blocks(head + bytes(held))]})
+                    held, n = bytearray(), 0
+        if n:
+            yield pd.DataFrame({"value": [_blocks(head + bytes(held))]})
+
+    out = ranges.mapInPandas(work, "value binary").select(F.col("value").cast("string").alias("value"))
+    out.write.mode("overwrite").option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", _EOF.decode("latin-1")).text(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        found = re.fullmatch(r"part-(\d+)-.*-c(\d+)\.txt", status.getPath().getName())
+        if found and status.getLen() <= len(_EOF):
+            system.delete(status.getPath(), False)
+        elif found:
+            system.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, f"part-{found[1]}-{found[2]}.bam"))

@@ -55,3 +55,18 @@ def tabulated(reads: DataFrame, columns: list[str]) -> DataFrame:
     """Chosen fields and tags; what is neither a column nor a tag reads 'None'."""
     pick = lambda c: F.col(c).cast("string") if c in reads.columns else F.col("tags")[c] if "tags" in reads.columns else F.lit(None)
     return reads.select(*[F.coalesce(pick(c), F.lit("None")).alias(c) for c in columns])
+
+
+def write_introns(introns: DataFrame, path: str, identifier: str = "gene_id") -> None:
+    """GTF lines of introns (contig, strand, an identifier, intron_start, intron_end), positions as in the exons' file (K16)."""
+    attributes = F.concat(F.lit(f'{identifier} "'), identifier, F.lit('";'))
+    line = F.concat_ws("\t", "contig", F.lit("."), F.lit("intron"), "intron_start", "intron_end", F.lit("."), "strand", F.lit("."), attributes)
+    introns.sort("contig", "intron_start", "intron_end").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def merged(*frames: DataFrame) -> DataFrame:
+    """All rows of several inputs (K3); columns that one of them lacks are null there."""
+    out = frames[0]
+    for other in frames[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out

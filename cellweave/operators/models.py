@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Groups (plate, cluster) up to which their sizes are held by every task of the test.
 GROUPS = 100_000
+#: Samples whose partners are asked for at a time.
+ASKED = 64
 
 
 def _beta_share(a: float, b: float, x: float) -> float:
@@ -141,24 +143,25 @@ def complete_distances(distances: DataFrame, samples: DataFrame) -> DataFrame:
     """Distances (a, b, distance; a < b) among the samples that are left when the sample with most missing distances is dropped
     until none is missing; of equals, the first name.
 
-    The driver holds one number for each sample and asks for the partners of a sample that it drops; the pairs stay where
-    they are."""
+    The driver holds one number for each sample and asks for the partners of the samples that are next to go, ASKED at a
+    time; the pairs stay where they are."""
     names = sorted(r[0] for r in samples.where("sm is not null").select("sm").distinct().collect())
     both = distances.where("distance is not null").select("a", "b").union(distances.where("distance is not null").select("b", "a")).distinct()
     both = both.persist()
     have = {r.a: r.n for r in both.groupBy("a").agg(F.count("*").alias("n")).collect()}
     missing = {s: len(names) - 1 - have.get(s, 0) for s in names}
-    gone = []
+    asked: dict[str, set[str]] = {}
     while missing:
         worst = max(missing, key=missing.get)
         if missing[worst] == 0:
             break
-        partners = {r.b for r in both.where(F.col("a") == worst).select("b").collect()} if have.get(worst) else set()
+        if worst not in asked:
+            asked = {s: set() for s in sorted(missing, key=missing.get, reverse=True)[:ASKED]}
+            for r in both.where(F.col("a").isin(*asked)).collect():
+                asked[r.a].add(r.b)
         del missing[worst]
-        gone.append(worst)
-        for s in missing:
-            if s not in partners:
-                missing[s] -= 1
+        for s in missing.keys() - asked[worst]:
+            missing[s] -= 1
     both.unpersist()
     left = distances.sparkSession.createDataFrame([(s,) for s in missing], "_s string")
     kept = distances.join(left, F.col("a") == F.col("_s"), "left_semi")

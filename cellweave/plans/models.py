@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import sequence as S
 from cellweave.operators import bases as B
 from cellweave.operators import models as M
-from cellweave.operators import molecules, pileup
+from cellweave.operators import calls, molecules, pileup
 from cellweave.plans.variation import _WALK, q
 from cellweave.plans.views import view
 
@@ -77,10 +77,8 @@ def differential_genes(spark, d):
 
 @q("complete_distances", None)
 def complete_distances(spark, d):
-    frame = view(spark, d, "reads").where("not unmapped").groupBy("sm", (F.col("ds") % 997).alias("locus")).agg(F.avg((F.col("nm") / 3)).alias("beta"))
-    from cellweave.operators import calls
-
-    return M.complete_distances(calls.sample_distances(frame, "sm", ["locus"]), frame)
+    frame = view(spark, d, "reads").where("not unmapped").groupBy("sm", "contig", "ds").agg(F.avg(F.col("nm") / 3).alias("beta"))
+    return M.complete_distances(calls.sample_distances(frame, "sm", ["contig", "ds"]), frame)
 
 
 @q("flipped_strands", "SELECT contig, f_start, f_name, CASE f_strand WHEN '+' THEN '-' WHEN '-' THEN '+' ELSE '.' END AS strand FROM features", "features")

@@ -71,6 +71,6 @@ def bedgraph(spark: SparkSession, path: str) -> DataFrame:
 def binned_track(track: DataFrame, size: int) -> DataFrame:
     """(contig, bin_start, value): the mean of a track over the bases of each bin that it covers."""
     bins = F.sequence(F.floor(F.col("start_") / size), F.floor((F.col("end_") - 1) / size))
-    rows = track.where("end_ > start_").withColumn("bin_start", F.explode(bins) * size)
+    rows = track.where("end_ > start_").withColumn("bin_start", F.explode(F.transform(bins, lambda b: b * size)))
     n = F.least("end_", F.col("bin_start") + size) - F.greatest("start_", "bin_start")
     return rows.withColumn("_n", n).groupBy("contig", "bin_start").agg((F.sum(F.col("value") * F.col("_n")) / F.sum("_n")).alias("value"))

@@ -10,7 +10,7 @@ A suffix whose two tokens stand elsewhere is repeated as a whole. Where only the
 compared one by one with those of the suffixes of the same first token: their bytes come together by that token, and
 the hashes of the windows' halves are sorted. Where very many share a first token, the windows become suffixes of
 their own and go through the range-partitioned sort. Windows whose first token stands nowhere else cannot be repeated.
-Nothing is sampled but the splitters."""
+Nothing is sampled but the splitters. A document is named by its id and a hash of its text."""
 
 from __future__ import annotations
 
@@ -108,12 +108,12 @@ def picked(data: np.ndarray, off: np.ndarray, length: int):
 
 
 def suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """(uid, kind, s, n, t0, t1): kind 0 is a suffix of n windows from byte s, kind 1 a run of n bytes known as repeated
+    """(id, uid, kind, s, n, t0, t1): kind 0 is a suffix of n windows from byte s, kind 1 a run of n bytes known as repeated
     within its own text. A suffix that stands several times in a text is given once."""
 
     def work(b: pa.RecordBatch):
-        uid = b.column(0).to_numpy()
-        data, off = text_bytes(b.column(1))
+        ident, uid = b.column(0).to_numpy(), b.column(1).to_numpy()
+        data, off = text_bytes(b.column(2))
         for i, j, lo, hi, skip in _pieces(off, length):
             rel = off[i : j + 1] - lo if skip == 0 and hi == off[j] else np.array([0, hi - lo])
             text, s, n, t0, t1 = picked(data[lo:hi], rel, length)
@@ -133,13 +133,14 @@ def suffixes(docs: DataFrame, length: int) -> DataFrame:
                 size.append(z - a)
             first.sort()
             m = sum(len(x) for x in who)
+            at = np.concatenate([i + text[first], *[i + x for x in who]])
             yield {
-                "uid": np.concatenate([uid[i + text[first]], *[uid[i + x] for x in who]]), "kind": np.repeat(np.array([0, 1], np.int8), [len(first), m]),
+                "id": ident[at], "uid": uid[at], "kind": np.repeat(np.array([0, 1], np.int8), [len(first), m]),
                 "s": np.concatenate([s[first], *start]), "n": np.concatenate([n[first], *size]).astype(np.int32),
                 "t0": np.concatenate([t0[first].view(np.int64), np.zeros(m, np.int64)]), "t1": np.concatenate([t1[first].view(np.int64), np.zeros(m, np.int64)]),
             }
 
-    return map_batches(docs.select("uid", "text"), work, "uid long, kind tinyint, s long, n int, t0 long, t1 long")
+    return map_batches(docs.select("id", "uid", "text"), work, "id long, uid long, kind tinyint, s long, n int, t0 long, t1 long")
 
 
 def multikey_order(*tokens: np.ndarray) -> np.ndarray:
@@ -163,7 +164,7 @@ def multikey_order(*tokens: np.ndarray) -> np.ndarray:
 
 
 def sorted_buckets(rows: DataFrame) -> DataFrame:
-    """Rows (uid, s, n, t0, t1) whose first token stands more than once, with some = the first token is repeated, all =
+    """Rows (id, uid, s, n, t0, t1) whose first token stands more than once, with some = the first token is repeated, all =
     both are, and lead = the row begins a run of equal tokens in its bucket and its first token has other runs."""
     spark = rows.sparkSession
 
@@ -172,9 +173,9 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
         if not got:
             return
         t = pa.Table.from_batches(got)
-        uid, s, n, t0, t1 = (t.column(c).combine_chunks().to_numpy() for c in ("uid", "s", "n", "t0", "t1"))
+        ident, uid, s, n, t0, t1 = (t.column(c).combine_chunks().to_numpy() for c in ("id", "uid", "s", "n", "t0", "t1"))
         k = multikey_order(t0, t1, uid)
-        uid, s, n, t0, t1 = uid[k], s[k], n[k], t0[k], t1[k]
+        ident, uid, s, n, t0, t1 = ident[k], uid[k], s[k], n[k], t0[k], t1[k]
         new0 = np.ones(len(k), bool)
         new0[1:] = t0[1:] != t0[:-1]
         new1 = new0.copy()
@@ -186,13 +187,13 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
         keep = (count0[run0] > 1) | edge0
         pid = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pydict({
-            "uid": uid[keep], "s": s[keep], "n": n[keep], "t0": t0[keep], "t1": t1[keep], "bucket": pa.array(np.full(keep.sum(), pid), pa.int32()),
+            "id": ident[keep], "uid": uid[keep], "s": s[keep], "n": n[keep], "t0": t0[keep], "t1": t1[keep], "bucket": pa.array(np.full(keep.sum(), pid), pa.int32()),
             "some": (count0[run0] > 1)[keep], "all": (count1[run1] > 1)[keep], "lead": (new1 & ((kinds[run0] > 1) | edge0))[keep], "edge0": edge0[keep], "edge1": (edge0 & edge1)[keep],
         })
 
-    schema = "uid long, s long, n int, t0 long, t1 long, bucket int, some boolean, all boolean, lead boolean, edge0 boolean, edge1 boolean"
+    schema = "id long, uid long, s long, n int, t0 long, t1 long, bucket int, some boolean, all boolean, lead boolean, edge0 boolean, edge1 boolean"
     small_batches(spark)
-    out = cut(rows.select("uid", "s", "n", "t0", "t1").repartitionByRange(partitions(spark), "t0", "t1", "uid").mapInArrow(sort, schema))
+    out = cut(rows.select("id", "uid", "s", "n", "t0", "t1").repartitionByRange(partitions(spark), "t0", "t1", "uid").mapInArrow(sort, schema))
     # At most two runs of a bucket reach its ends, so these lists have two entries a bucket at most.
     edges = out.where("edge0").select("t0", "t1", "bucket", "edge1")
     across0 = [r.t0 for r in edges.groupBy("t0").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).where("a < b").collect()]
@@ -201,7 +202,7 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
     )
     out = out.join(F.broadcast(across1), (F.col("t0") == F.col("x0")) & (F.col("t1") == F.col("x1")), "left")
     some = F.col("some") | (F.col("edge0") & F.col("t0").isin(across0)) if across0 else F.col("some")
-    return out.select("uid", "s", "n", "t0", some.alias("some"), (F.col("all") | F.col("x0").isNotNull()).alias("all"), "lead").where("some")
+    return out.select("id", "uid", "s", "n", "t0", some.alias("some"), (F.col("all") | F.col("x0").isNotNull()).alias("all"), "lead").where("some")
 
 
 def _windows_of(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,14 +225,14 @@ def _repeated(group: np.ndarray, h0: np.ndarray, h1: np.ndarray) -> np.ndarray:
 
 
 def _compared(rows: DataFrame, length: int) -> DataFrame:
-    """(uid, s, n): runs of n bytes under repeated windows, from rows (t0, uid, s, bytes) that come together by t0."""
+    """(id, uid, s, n): runs of n bytes under repeated windows, from rows (t0, id, uid, s, bytes) that come together by t0."""
 
     def work(batches):
         got = list(batches)
         if not got:
             return
         t = pa.Table.from_batches(got)
-        t0, uid, start = (t.column(c).combine_chunks().to_numpy() for c in ("t0", "uid", "s"))
+        t0, ident, uid, start = (t.column(c).combine_chunks().to_numpy() for c in ("t0", "id", "uid", "s"))
         data, off = text_bytes(t.column("bytes").combine_chunks())
         size = np.diff(off)
         order = np.argsort(t0, kind="stable")
@@ -260,9 +261,9 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
             head[1:] = (p[1:] != p[:-1]) | (w[1:] != w[:-1] + 1)
             a = np.flatnonzero(head)
             z = np.append(a[1:], len(hit)) - 1
-            yield pa.RecordBatch.from_pydict({"uid": uid[own[p[a]]], "s": start[own[p[a]]] + w[a], "n": (w[z] - w[a] + length).astype(np.int32)})
+            yield pa.RecordBatch.from_pydict({"id": ident[own[p[a]]], "uid": uid[own[p[a]]], "s": start[own[p[a]]] + w[a], "n": (w[z] - w[a] + length).astype(np.int32)})
 
-    return rows.repartition(partitions(rows.sparkSession), "t0").mapInArrow(work, "uid long, s long, n int")
+    return rows.repartition(partitions(rows.sparkSession), "t0").mapInArrow(work, "id long, uid long, s long, n int")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, together: int = TOGETHER) -> DataFrame:
@@ -272,23 +273,24 @@ def remove_repeats(docs: DataFrame, length: int = 200, together: int = TOGETHER)
     overlap) or another; strings never cross documents. n_spans counts maximal removed runs. Null text counts as empty.
     Rows of equal doc_id and text are documents that repeat one another; null ids are kept; an empty table gives no rows;
     other columns are not read."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-1)).cast("long").alias("id")).withColumn("uid", F.xxhash64("text"))
     found = written(suffixes(docs, length))
     judged = cut(sorted_buckets(found.where("kind = 0")))
-    whole = judged.where("all").select("uid", "s", (F.col("n") + length - 1).alias("n"))
+    whole = judged.where("all").select("id", "uid", "s", (F.col("n") + length - 1).alias("n"))
     # Suffixes to compare window by window, and of every run of equal suffixes beside them one.
-    asked = judged.where("not all or lead").select("uid", "s", "n", "t0").distinct()
+    asked = judged.where("not all or lead").select("id", "uid", "s", "n", "t0").distinct()
     crowd = asked.groupBy("t0").agg(F.count("*").alias("k")).where(F.col("k") > together).select(F.col("t0").alias("c0"))
     asked = asked.join(crowd, F.col("t0") == F.col("c0"), "left")
-    runs = asked.groupBy("uid").agg(F.collect_list(F.struct("s", "n", "t0", F.col("c0").isNotNull().alias("crowd"))).alias("runs"))
+    runs = asked.groupBy("id", "uid").agg(F.collect_list(F.struct("s", "n", "t0", F.col("c0").isNotNull().alias("crowd"))).alias("runs"))
 
     def take(b: pa.RecordBatch):
-        uid, lists = b.column(0).to_numpy(), b.column(2)
-        data, off = text_bytes(b.column(1))
-        out: dict[str, list] = {k: [] for k in ("uid", "s", "n", "t0", "crowd", "bytes")}
+        ident, uid, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+        data, off = text_bytes(b.column(2))
+        out: dict[str, list] = {k: [] for k in ("id", "uid", "s", "n", "t0", "crowd", "bytes")}
         for k in range(b.num_rows):
             own = data[off[k] : off[k + 1]]
             for r in lists[k].as_py():
+                out["id"].append(ident[k])
                 out["uid"].append(uid[k])
                 for c in ("s", "n", "t0", "crowd"):
                     out[c].append(r[c])
@@ -297,23 +299,23 @@ def remove_repeats(docs: DataFrame, length: int = 200, together: int = TOGETHER)
                 yield out
                 out = {c: [] for c in out}
 
-    taken = written(map_batches(docs.join(runs, "uid").select("uid", "text", "runs"), take, "uid long, s long, n int, t0 long, crowd boolean, bytes binary"))
+    taken = written(map_batches(docs.join(runs, ["id", "uid"]).select("id", "uid", "text", "runs"), take, "id long, uid long, s long, n int, t0 long, crowd boolean, bytes binary"))
 
     def windows(b: pa.RecordBatch):
-        uid, start = b.column(0).to_numpy(), b.column(1).to_numpy()
-        data, off = text_bytes(b.column(2))
+        ident, uid, start = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
+        data, off = text_bytes(b.column(3))
         if b.num_rows:
             part, h0, h1 = _windows_of(data, off, length)
             first = np.concatenate(([0], np.cumsum(np.diff(off) - length + 1)))[:-1]
             w = np.arange(len(part)) - first[part]
-            yield {"uid": uid[part], "s": start[part] + w, "n": np.ones(len(w), np.int32), "t0": h0.view(np.int64), "t1": h1.view(np.int64)}
+            yield {"id": ident[part], "uid": uid[part], "s": start[part] + w, "n": np.ones(len(w), np.int32), "t0": h0.view(np.int64), "t1": h1.view(np.int64)}
 
-    repeated = _compared(taken.where("not crowd").select("t0", "uid", "s", "bytes"), length)
+    repeated = _compared(taken.where("not crowd").select("t0", "id", "uid", "s", "bytes"), length)
     if crowd.limit(1).count():
-        single = written(map_batches(taken.where("crowd").select("uid", "s", "bytes"), windows, "uid long, s long, n int, t0 long, t1 long"))
-        repeated = repeated.union(sorted_buckets(single).where("all").select("uid", "s", F.lit(length).alias("n")))
-    known = found.where("kind = 1").select("uid", "s", "n")
-    spans = whole.union(repeated).union(known).groupBy("uid").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
+        single = written(map_batches(taken.where("crowd").select("id", "uid", "s", "bytes"), windows, "id long, uid long, s long, n int, t0 long, t1 long"))
+        repeated = repeated.union(sorted_buckets(single).where("all").select("id", "uid", "s", F.lit(length).alias("n")))
+    known = found.where("kind = 1").select("id", "uid", "s", "n")
+    spans = whole.union(repeated).union(known).groupBy("id", "uid").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
 
     def finish(b: pa.RecordBatch):
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
@@ -341,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, together: int = TOGETHER)
             out["kept_sha256"].append(digest.hexdigest())
         return out | {"doc_id": b.column(0)}
 
-    joined = docs.join(spans, "uid", "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans, ["id", "uid"], "left").select("doc_id", "text", "spans")
     return map_batches(joined, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

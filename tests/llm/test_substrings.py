@@ -65,3 +65,10 @@ def test_texts_longer_than_a_piece(spark):
     docs = spark.createDataFrame([(1, long), (2, long[300_000:900_000]), (3, "-" * 40 + long[1_200_000:1_200_260])], "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.remove_repeats(docs).collect()}
     assert got == {1: (1_300_000, 600_260, 2), 2: (600_000, 600_000, 1), 3: (300, 260, 1)}
+
+
+def test_null_and_repeated_ids(spark):
+    """Ids that are null, -1 or the same for different texts do not mix their spans; other columns called id do not clash."""
+    rows = [(None if k % 3 == 0 else -1 if k % 3 == 1 else 7, t) for k, (_, t) in enumerate(corpus(21))]
+    docs = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, id string, uid int")
+    assert sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=repr) == brute(rows, 200)

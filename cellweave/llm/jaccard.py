@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.arrow import map_batches, small_batches
+from cellweave.llm.arrow import PIECE_BYTES, map_batches, pieces, released, small_batches
 from cellweave.llm.frames import collect_garbage, components, cut, partitions, written
 from cellweave.llm.words import shingles, word_hashes
 
@@ -77,8 +77,8 @@ def frequency_sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.nda
         yield pa.RecordBatch.from_pydict({"r": pa.array(list(total), pa.int32()), "v": [np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in total.values()]})
 
     small_batches(docs.sparkSession)
-    parts = docs.select("text").mapInArrow(count, "r int, v binary")
-    merged = parts.repartition(min(rows, partitions(docs.sparkSession)), "r").mapInArrow(merge, "r int, v binary")
+    parts = docs.select("text").mapInArrow(released(count), "r int, v binary")
+    merged = parts.repartition(min(rows, partitions(docs.sparkSession)), "r").mapInArrow(released(merge), "r int, v binary")
     out = np.zeros((rows, width), np.int64)
     for r in merged.collect():
         out[r.r] = np.frombuffer(bytes(r.v), "<u4")
@@ -215,6 +215,31 @@ def _table(batches) -> dict[str, pa.Array]:
     return {c: t.column(c).combine_chunks() for c in t.column_names}
 
 
+def _whole(batches, *keys: str, most: int = 4 * PIECE_BYTES):
+    """Tables of the rows of batches sorted by keys: whole groups of equal keys, several together while they are small, so that
+    memory follows the largest group and not the partition."""
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if size + b.nbytes > most:
+            at = _runs(*[b.column(b.schema.get_field_index(k)).to_numpy() for k in keys])
+            same = bool(held) and all(held[-1].column(k)[-1].as_py() == b.column(k)[0].as_py() for k in keys)
+            cuts = [int(x) for x in (at[1:-1] if same or not held else at[:-1])]
+            # what is held ends with the first group of b; of the rest, all but the last group is whole
+            if cuts:
+                if cuts[0]:
+                    held.append(b.slice(0, cuts[0]))
+                yield _table(held)
+                if cuts[-1] > cuts[0]:
+                    yield _table([b.slice(cuts[0], cuts[-1] - cuts[0])])
+                b, held, size = b.slice(cuts[-1]), [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield _table(held)
+
+
 # -- the join ---------------------------------------------------------------------------------------------------------
 
 
@@ -241,7 +266,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
         cold = s[~hot]
         return cold[:k] if len(cold) >= k else np.concatenate((cold, s[hot][: k - len(cold)]))
 
-    def describe(b: pa.RecordBatch):
+    def described(b: pa.RecordBatch):
         out: dict[str, list] = {"n": [], "key": [], "prefix": [], "vector": []}
         for s in sets_of(b.column(1), n):
             out["n"].append(len(s))
@@ -250,6 +275,9 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
             out["vector"].append(np.minimum(count_vector(s, group_count(len(s))), 65535).astype("<u2").tobytes() if len(s) else None)
         return out | {"doc_id": b.column(0), "text_id": b.column(2)}
 
+    def describe(b: pa.RecordBatch):
+        return map(described, pieces(b, 1))
+
     seen = written(map_batches(docs, describe, "doc_id long, text_id binary, n long, key binary, prefix array<long>, vector binary"))
     # A class has a number of its own and a head, the document whose text stands for it.
     classes = cut(
@@ -266,15 +294,16 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
         who = np.repeat(ids, np.diff(lists.offsets.to_numpy()))
         deal = level[(flat & slot_mask).astype(np.int64)].astype(int)
         plain = deal <= 1
-        token, owner, tile = [flat[plain]], [who[plain]], [np.zeros(plain.sum(), np.int32)]
+        yield {"token": flat[plain].view(np.int64), "tile": np.zeros(plain.sum(), np.int32), "class": who[plain]}
         for k in np.unique(deal[~plain]):
             at = deal == k
-            s = (who[at].view(np.uint64) % np.uint64(k)).astype(np.int64)
-            for other in range(k):
-                token.append(flat[at])
-                owner.append(who[at])
-                tile.append((np.minimum(s, other) * k + np.maximum(s, other)).astype(np.int32))
-        return {"token": np.concatenate(token).view(np.int64), "tile": np.concatenate(tile), "class": np.concatenate(owner)}
+            token, owner = flat[at].view(np.int64), who[at]
+            s = (owner.view(np.uint64) % np.uint64(k)).astype(np.int64)
+            together = max(1, PIECE_BYTES // (20 * len(s)))
+            for first in range(0, k, together):
+                other = np.arange(first, min(k, first + together))[:, None]
+                tile = (np.minimum(s, other) * k + np.maximum(s, other)).astype(np.int32)
+                yield {"token": np.tile(token, len(other)), "tile": tile.reshape(-1), "class": np.tile(owner, len(other))}
 
     entries = map_batches(heads.select("class", "prefix"), blocks, "token long, tile int, class long")
 
@@ -317,16 +346,17 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
             yield pa.RecordBatch.from_pydict({"block": names[new], "class": who[new]})
 
     parts, large = partitions(spark), 8 * shard
-    shared = entries.repartition(parts, "token", "tile").mapInArrow(groups, "block long, class long").distinct()
+    shared = entries.repartition(parts, "token", "tile").mapInArrow(released(groups), "block long, class long").distinct()
     points = shared.join(heads.select("class", "n", "vector"), "class")
 
     # Sets of like size have vectors that differ in width by this factor at most (group_count rounds up, from n // 8 - 1).
     widest = 1 << max(1, math.floor(math.log2(2.3 / threshold)))
 
     def connect(batches):
-        t = _table(batches)
-        if not t:
-            return
+        for t in _whole(batches, "block"):
+            yield from connected(t)
+
+    def connected(t):
         block, who, size = (t[c].to_numpy() for c in ("block", "class", "n"))
         vectors = t["vector"]
         order = np.lexsort((who, size, block))
@@ -351,7 +381,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
         if a_out:
             yield pa.RecordBatch.from_pydict({"a": np.array(a_out, np.int64), "b": np.array(b_out, np.int64)})
 
-    edges = points.repartition(parts, "block").mapInArrow(connect, "a long, b long")
+    edges = points.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(released(connect), "a long, b long")
     collect_garbage(spark)
     candidate = components(edges)
     collect_garbage(spark)
@@ -364,7 +394,9 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
     loaded_here: set[int] = set()  # of a task: rows that repeat come once
 
     def load(b: pa.RecordBatch):
+        """A set comes once for each tile of its shard, so what goes out is cut by its own size, not by that of the texts."""
         out: dict[str, list] = {k: [] for k in ("root", "tile", "class", "copies", "own", "set")}
+        size = 0
         fresh = [k for k, c in enumerate(b.column(1).to_pylist()) if not (c in loaded_here or loaded_here.add(c))]
         b = b.take(pa.array(fresh, pa.int64()))
         root, who, copies, shards = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
@@ -378,14 +410,19 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
                 out["copies"].append(copies[k])
                 out["own"].append(own)
                 out["set"].append(raw)
-        return out
+                size += len(raw)
+                if size > PIECE_BYTES:
+                    yield out
+                    out, size = {k: [] for k in out}, 0
+        yield out
 
     loaded = map_batches(texts.select("root", "class", "copies", "shards", "text"), load, "root long, tile int, class long, copies long, own int, set binary")
 
     def verify(batches):
-        t = _table(batches)
-        if not t:
-            return
+        for t in _whole(batches, "root", "tile"):
+            yield from verified(t)
+
+    def verified(t):
         root, tile, who, copies, own = (t[c].to_numpy() for c in ("root", "tile", "class", "copies", "own"))
         order = np.lexsort((who, tile, root))
         at = _runs(root[order], tile[order])
@@ -406,7 +443,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
         if out_id:
             yield pa.RecordBatch.from_pydict({"class": np.array(out_id, np.int64), "links": np.array(out_links, np.int64), "to": np.array(out_to, np.int64)})
 
-    checked = cut(loaded.repartition(parts, "root", "tile").mapInArrow(verify, "class long, links long, to long"))
+    checked = cut(loaded.repartition(parts, "root", "tile").sortWithinPartitions("root", "tile").mapInArrow(released(verify), "class long, links long, to long"))
     collect_garbage(spark)
     linked = components(checked.select(F.col("class").alias("a"), F.col("to").alias("b")))
     links = checked.groupBy("class").agg(F.sum("links").alias("links"))
@@ -434,9 +471,12 @@ def exact_links(sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray, rat
     tree = RTree(np.array([count_vector(s, width) for s in sets]), sizes, ratio)
     single = (own == own[0]).all()
     links, forest = np.zeros(n, np.int64), Forest(n)
-    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    distinct = np.unique(np.concatenate(sets))
     at = np.concatenate(([0], np.cumsum(sizes)))
-    universe = int(dense.max()) + 1
+    universe, dense = len(distinct), np.empty(at[-1], np.int32)
+    for k, s in enumerate(sets):
+        dense[at[k] : at[k + 1]] = np.searchsorted(distinct, s)
+    del distinct
     num, den = ratio.numerator, ratio.denominator
     mark = np.zeros(universe, bool)
     for x, y in tree.pairs():

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.arrow import map_batches, small_batches
+from cellweave.llm.arrow import map_batches, pieces, released, small_batches
 from cellweave.llm.words import SPACE, text_bytes, word_hashes
 
 #: Labelled rows of each class that the fit uses at most, and the model's size.
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFrame:
     weight, factor = model.weight.astype(np.float32), model.factor.astype(np.float32)
     small = Machine(model.bias, weight, factor, model.mean, model.scale)
 
-    def work(b: pa.RecordBatch):
+    def scored(b: pa.RecordBatch):
         m = Machine(small.bias, small.weight.astype(float), small.factor.astype(float), small.mean, small.scale)
         ptr, slots, values, stats = features(b.column(1), b.column(2))
         if b.num_rows:
@@ -194,6 +194,9 @@ def score(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFrame:
         p = np.round(1 / (1 + np.exp(-np.clip(margin, -30, 30))), 6)
         return {"doc_id": b.column(0), "score": p, "predicted": (p >= threshold).astype(np.int32)}
 
+    def work(b: pa.RecordBatch):
+        return map(scored, pieces(b, 1))
+
     out = map_batches(docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")), work, "doc_id long, score double, predicted int")
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
@@ -208,11 +211,12 @@ def accepted(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFra
     """The rows of docs (doc_id, text, lang, source, n_chars) whose score is threshold or more, unchanged."""
 
     def work(batches):
-        for b in batches:
-            ptr, slots, values, stats = features(b.column(1), b.column(4))
-            margin = model.margins(*_joined(ptr, slots, values, stats, model.mean, model.scale)) if b.num_rows else np.zeros(0)
-            yield b.filter(pa.array(np.round(1 / (1 + np.exp(-np.clip(margin, -30, 30))), 6) >= threshold))
+        for whole in batches:
+            for b in pieces(whole, 1):
+                ptr, slots, values, stats = features(b.column(1), b.column(4))
+                margin = model.margins(*_joined(ptr, slots, values, stats, model.mean, model.scale))
+                yield b.filter(pa.array(np.round(1 / (1 + np.exp(-np.clip(margin, -30, 30))), 6) >= threshold))
 
     rows = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     small_batches(docs.sparkSession)
-    return rows.mapInArrow(work, rows.schema)
+    return rows.mapInArrow(released(work), rows.schema)

@@ -118,3 +118,21 @@ def test_large_blocks_in_tiles(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {tuple(r) for r in jaccard.jaccard_join(docs, 4, Fraction(7, 10), shard=4, frequent=1e9).collect()}
     assert got == brute(rows, 4, Fraction(7, 10))
+
+
+def test_groups_are_whole_and_few_at_once():
+    """Batches of sorted rows become tables of whole groups, none much larger than its largest group or the bound."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    for size in (1, 7, 50, 400):
+        key = np.sort(rng.integers(0, 60, 500))
+        key[100:300] = key[100]
+        key = np.sort(key)
+        rows = pa.RecordBatch.from_pydict({"a": key // 8, "b": key % 8, "v": np.arange(500)})
+        got = list(jaccard._whole([rows.slice(k, size) for k in range(0, 500, size)], "a", "b", most=800))
+        assert np.concatenate([t["v"].to_numpy() for t in got]).tolist() == list(range(500))
+        groups = [set((t["a"].to_numpy() * 8 + t["b"].to_numpy()).tolist()) for t in got]
+        assert sum(len(g) for g in groups) == len(set(key.tolist()))
+        assert len(got) > 1
+    assert list(jaccard._whole([], "a")) == []

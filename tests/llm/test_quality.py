@@ -37,3 +37,37 @@ def test_held_out_accuracy_and_edges(spark):
     assert {r.score for r in quality.score(docs.limit(3), nothing).collect()} != set()
     keep = quality.accepted(docs, model)
     assert keep.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in keep.collect()} == {r.doc_id for r in got if r.predicted}
+
+
+def test_memory_of_a_full_batch(spark):
+    """What a batch of 8 MB takes follows a piece of it, and its rows are those that a machine on the whole batch accepts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Frame:
+        sparkSession, schema = spark, None
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    rng = np.random.default_rng(3)
+    words = np.array([f"word{k}" for k in range(5000)])
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(2200)] + [None, ""]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts), pa.array(["en"] * n), pa.array(["web"] * n), pa.array([len(t or "") for t in texts])], ["doc_id", "text", "lang", "source", "n_chars"])
+    assert batch.column(1).nbytes > 7e6
+    d = quality.STATS + quality.WORD_SLOTS
+    model = quality.Machine(-0.8, rng.normal(0, 0.3, d), rng.normal(0, 0.3, (d, quality.RANK)), np.zeros(quality.STATS), np.ones(quality.STATS))
+    ptr, slots, values, stats = quality.features(batch.column(1), batch.column(4))
+    margin = model.margins(*quality._joined(ptr, slots, values, stats, model.mean, model.scale))
+    want = np.flatnonzero(np.round(1 / (1 + np.exp(-np.clip(margin, -30, 30))), 6) >= 0.3).tolist()
+    work = quality.accepted(Frame(), model)
+    tracemalloc.start()
+    got = [x for b in work([batch]) for x in b.column(0).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and 0 < len(want) < n and peak < 80e6

@@ -2,8 +2,8 @@
 
 Restaurants: one for each word that comes before another (and one for the text's start), all of which share the unigram
 restaurant as their parent, whose own parent is uniform over the known words and one unknown. A dish (a word in a context)
-has customers and tables; its seating given these two numbers is integrated out. In a sweep customers of every dish get
-up one by one and sit down again: whoever gets up sat alone with the probability that Stirling numbers give, and sits down
+has customers and tables; its seating given these two numbers is integrated out. In a sweep all customers of every dish get
+up and sit down again, one by one or, in large dishes, in small groups: whoever gets up sat alone with the probability that Stirling numbers give, and sits down
 at a new table in proportion to the parent's probability. A dish sees its own moves at once and those of all others after
 the sweep. Random numbers come from hashes of the dish and the sweep, so results do not depend on how data are dealt out.
 
@@ -31,8 +31,10 @@ BLOCK_TOKENS = 2_000_000
 #: Tokens of a mean part; there are as many parts as shuffle partitions at most.
 PART_TOKENS = 2_500_000
 BURN, SAMPLES = 3, 3
-#: Customers of a dish that get up in a sweep, at most; strength of every restaurant.
+#: Of the customers of a dish, all of whom get up in a sweep, those who do so one by one, and the part (2**-GRAIN) of the dish
+#: that the others go in groups of; strength of every restaurant.
 MOVES = 8
+GRAIN = 6
 STRENGTH = 1.0
 #: Rows of the sample that finds contexts to be dealt out further; this changes where work is done, not its result.
 LAYOUT_ROWS = 5_000
@@ -147,17 +149,21 @@ def leave(c: np.ndarray, t: np.ndarray, fewer: np.ndarray, alone: Alone, key: np
 
 
 def reseat(c: np.ndarray, t: np.ndarray, weight, alone: Alone, d: float, key: np.ndarray, salt: tuple, moves: int) -> np.ndarray:
-    """Gibbs: up to moves customers of each dish get up and sit down again. weight(dishes, tables) is a new table's weight
-    when so many of the dish stand."""
-    t = t.copy()
-    for r in range(moves):
-        live = np.flatnonzero(c > max(1, r))
-        if not len(live):
-            break
+    """Gibbs: as many customers as a dish has get up and sit down again, the first moves of them one by one, the rest in groups
+    of 2**-GRAIN of the dish (one by one below 2 * 2**GRAIN customers). weight(dishes, tables) is a new table's weight when so
+    many of the dish stand."""
+    t, left = t.copy(), np.where(c > 1, c, 0)
+    live, r = np.flatnonzero(left), 0
+    while len(live):
         n, now = c[live], t[live]
-        now = now - (uniform(key[live], *salt, 2 * r) < alone(n, now))
+        g = np.ones(len(live), np.int64) if r < moves else np.minimum(left[live], np.maximum(1, n >> GRAIN))
+        gone = np.ceil(g * alone(n, now) - uniform(key[live], *salt, 2 * r)).astype(np.int64)
+        now = np.clip(now - gone, 1, n - g)
         w = weight(live, now)
-        t[live] = now + (uniform(key[live], *salt, 2 * r + 1) < w / np.maximum(w + n - 1 - d * now, 1e-12))
+        chance = w / np.maximum(w + n - g - d * now, 1e-12)
+        t[live] = now + np.minimum(np.ceil(g * chance - uniform(key[live], *salt, 2 * r + 1)).astype(np.int64), g)
+        left[live] -= g
+        live, r = live[left[live] > 0], r + 1
     return t
 
 

@@ -179,6 +179,27 @@ def test_seating_against_exact_sampler():
     assert abs(mean.sum() / n - want.sum()) < 0.06 * want.sum() and abs(up.sum() / n - want_up.sum()) < 0.08 * want_up.sum()
 
 
+def test_all_customers_move_in_a_sweep():
+    """From all alone or all together, a few sweeps reach the mean of the distribution S(c, t) w**t of the tables."""
+    d, w = 0.5, 6.0
+    log = np.full(1501, -np.inf)
+    log[0], want, t = 0.0, {}, np.arange(1, 1501)
+    for c in range(1, 1501):
+        with np.errstate(divide="ignore"):
+            stay = np.log(np.maximum(c - 1 - d * t, 0)) + log[1:]
+        log = np.append(-np.inf, np.logaddexp(log[:-1], stay))
+        if c in (40, 1500):
+            p = np.exp(log[1:] + t * math.log(w) - (log[1:] + t * math.log(w)).max())
+            want[c] = (p * t).sum() / p.sum()
+    alone, key = language.Alone(d), np.arange(1, 501, dtype=np.uint64)
+    for c, mean in want.items():
+        for start in (1, c):
+            t = np.full(500, start)
+            for k in range(16):
+                t = language.reseat(np.full(500, c), t, lambda at, now: np.full(len(at), w), alone, d, key, (1, k, 2), 8)
+            assert (t >= 1).all() and (t <= c).all() and abs(t.mean() / mean - 1) < 0.06, (c, start, t.mean(), mean)
+
+
 def test_alone_beyond_the_exact_table():
     for d in (0.3, 0.6, 0.9):
         alone = language.Alone(d)

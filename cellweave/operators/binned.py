@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators import intervals
 from cellweave.operators.windows import tumbling_bin
 
 
@@ -105,11 +106,11 @@ def methylation_and_abundance(reads: DataFrame, size: int, min_mapq: int, contex
     return each.groupBy("kind", "context", "allele", "contig", "bin", "sm").agg(F.sum("n").alias("n"))
 
 
-def by_cell_index(hits: DataFrame, cells: int = 384) -> DataFrame:
-    """(f_name, cell, n) for cells numbered 1 to cells: hits of region joins (read_index, f_name, bi), failed and duplicate reads
-    left out."""
-    rows = hits.where(~F.col("qcfail") & ~F.col("duplicate") & F.col("bi").between(1, cells))
-    return rows.groupBy("f_name", F.col("bi").alias("cell")).agg(F.count("*").alias("n"))
+def by_cell_index(reads: DataFrame, regions: DataFrame, cells: int = 384) -> DataFrame:
+    """(f_name, cell, n) for cells numbered 1 to cells (bi): reads that overlap a region and have their site in it, failed and
+    duplicate reads left out."""
+    rows = reads.where(~F.col("qcfail") & ~F.col("duplicate") & F.col("bi").between(1, cells))
+    return intervals.site_counts(rows.withColumnRenamed("bi", "cell"), regions, ["cell"], ["f_name"])
 
 
 def histogram(values: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

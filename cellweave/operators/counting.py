@@ -56,14 +56,13 @@ def binned(reads: DataFrame, contigs: DataFrame, sample: list[str], size: int, s
 
 def by_region(reads: DataFrame, regions: DataFrame, sample: list[str], value: Column) -> DataFrame:
     """Each read once for each region that it overlaps (half-open)."""
-    hit = intervals.overlaps(reads.withColumn("_v", value), regions, half_open=True)
-    return hit.groupBy(*sample, "contig", "f_start", "f_end", "f_name").agg(F.sum("_v").alias("n"))
+    keys = ["contig", "f_start", "f_end", "f_name"]
+    return intervals.overlap_sums(reads, regions, sample, keys, value).select(*sample, *keys, F.col("total").alias("n"))
 
 
 def region_sites(reads: DataFrame, regions: DataFrame, sample: list[str]) -> DataFrame:
     """Reads that overlap a region and whose site lies in it, both ends included."""
-    hit = intervals.overlaps(reads, regions, half_open=True).where("ds between f_start and f_end")
-    return hit.groupBy(*sample, "f_name").agg(F.count("*").alias("n"))
+    return intervals.site_counts(reads, regions, sample, ["f_name"]).select(*sample, "f_name", "n")
 
 
 def bulk(table: DataFrame, sample: list[str]) -> DataFrame:

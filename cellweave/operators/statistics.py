@@ -94,11 +94,22 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return j.agg(F.sum(F.col("n") / F.col("_t") * F.log(F.col("n") * F.col("_t") / (F.col("_a") * F.col("_b")))).alias("mi"))
 
 
+#: Single counts that one row stands for while they are hashed.
+DRAWS = 10_000
+
+
 def downsampled(counts: DataFrame, cell: str, item: str, total: int, seed: int = 1) -> DataFrame:
-    """At most total of each cell's counts (cell, item, n), picked by a seeded hash of every single count."""
-    one = counts.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    h = F.md5(F.concat_ws(":", F.col(cell).cast("string"), F.col(item).cast("string"), F.col("_k").cast("string"), F.lit(str(seed))))
-    picked = one.withColumn("_r", F.row_number().over(Window.partitionBy(cell).orderBy(h))).where(F.col("_r") <= total)
+    """At most total of each cell's counts (cell, item, n), picked by a seeded hash of every single count.
+
+    Counts are hashed DRAWS at a time, in as many tasks as a shuffle has, and each lot keeps its total lowest hashes; the lowest of
+    a cell are among them."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lots = counts.where("n > 0").select(cell, item, F.col("n").cast("long").alias("_n"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"), F.lit(DRAWS).cast("long"))).alias("_k"))
+    lots = lots.repartition(parts, cell, item, "_k")
+    name = lambda k: F.md5(F.concat_ws(":", F.col(cell).cast("string"), F.col(item).cast("string"), k.cast("string"), F.lit(str(seed))))
+    hashes = F.transform(F.sequence(F.col("_k"), F.least(F.col("_k") + DRAWS - 1, F.col("_n"))), name)
+    one = lots.select(cell, item, F.explode(F.slice(F.array_sort(hashes), 1, total)).alias("_h"))
+    picked = one.withColumn("_r", F.row_number().over(Window.partitionBy(cell).orderBy("_h"))).where(F.col("_r") <= total)
     return picked.groupBy(cell, item).agg(F.count("*").alias("n"))
 
 

@@ -104,7 +104,8 @@ def substitution_class(ref: Column, alt: Column, before: Column, after: Column)
 def taps_context(ref3: Column, observed: Column, forward: Column) -> Column:
     """z/Z CpG, x/X CHG, h/H CHH of a trinucleotide that starts at the cytosine (already on its strand); upper case where the
     conversion shows a methylated base; '.' elsewhere."""
-    kind = F.when(ref3.rlike("^CG"), "z").when(ref3.rlike("^C[ACT]G"), "x").when(ref3.rlike("^C[ACT][ACT]"), "h")
+    two = [a + b for a in "ACT" for b in "ACT"]
+    kind = F.when(F.substring(ref3, 1, 2) == "CG", "z").when(F.substring(ref3, 1, 3).isin("CAG", "CCG", "CTG"), "x").when(F.substring(ref3, 1, 3).isin([f"C{x}" for x in two]), "h")
     converted = F.when(forward, observed == "T").otherwise(observed == "A")
     plain = F.when(forward, observed == "C").otherwise(observed == "G")
     return F.coalesce(F.when(converted, F.upper(kind)).when(plain, kind), F.lit("."))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellweave.operators import bases as B
+
 #: Places on the contigs' common axis that share a key in the join of random places.
 TILE = 1 << 20
 
@@ -15,24 +17,33 @@ def in_region(bases: DataFrame, contig: str, start: int, stop: int) -> DataFrame
     return bases.where((F.col("contig") == contig) & (F.col("pos") >= start) & (F.col("pos") < stop))
 
 
-def mate_pileup(bases: DataFrame, reads: DataFrame, places: DataFrame) -> DataFrame:
+def mate_pileup(pieces: DataFrame, reads: DataFrame, places: DataFrame) -> DataFrame:
     """(contig, pos, query_name, read1, read2): the fragments with an aligned base at a place (contig, pos), with the read_index
     of both mates, also of one that does not reach the place. A mate that reads does not have is null; of several
-    alignments of a mate, the first by read_index counts. reads are without supplementary alignments."""
-    at = places.select("contig", "pos").distinct()
-    hits = bases.select("contig", "pos", "query_name").join(at, ["contig", "pos"]).distinct()
-    mates = reads.groupBy("query_name").agg(F.min(F.when(~F.col("is_read2"), F.col("read_index"))).alias("read1"), F.min(F.when(F.col("is_read2"), F.col("read_index"))).alias("read2"))
-    return hits.join(mates, "query_name").select("contig", "pos", "query_name", "read1", "read2")
+    alignments of a mate, the first by read_index counts. pieces are the aligned stretches; reads are without supplementary alignments.
+
+    Stretches at places and mates come together once, by name; a place is given by the first stretch of a fragment that holds it."""
+    none = F.lit(None).cast("long")
+    at = B.at_places(pieces, places).select("query_name", F.struct("contig", "pos", "_mask").alias("_p"), none.alias("_1"), none.alias("_2"), F.lit(False).alias("_known"))
+    index = F.col("read_index").cast("long")
+    mates = reads.select("query_name", F.lit(None).cast(at.schema["_p"].dataType).alias("_p"), F.when(~F.col("is_read2"), index).alias("_1"), F.when(F.col("is_read2"), index).alias("_2"), F.lit(True).alias("_known"))
+    each = at.union(mates).where("query_name is not null").groupBy("query_name").agg(F.collect_list("_p").alias("_all"), F.min("_1").alias("read1"), F.min("_2").alias("read2"), F.max("_known").alias("_known"))
+    rows = each.where("_known and size(_all) > 0").select("query_name", "read1", "read2", "_all", F.posexplode("_all").alias("_i", "_p"))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.length("_p._mask") - 1))).where(F.substr("_p._mask", F.col("_k") + 1, F.lit(1)) == "1")
+    pos = F.col("_p.pos") + F.col("_k")
+    seen = F.exists(F.slice("_all", F.lit(1), F.col("_i")), lambda x: (x["contig"] == F.col("_p.contig")) & (x["pos"] <= pos) & (pos < x["pos"] + F.length(x["_mask"])))
+    return rows.where(F.when(F.col("_i") == 0, True).otherwise(~seen)).select("_p.contig", pos.alias("pos"), "query_name", "read1", "read2")
 
 
-def coverage_at(bases: DataFrame, places: DataFrame, dedup: bool = True, qc: bool = True) -> DataFrame:
-    """(contig, pos, sm, n): reads of each sample with an aligned base at a place, without duplicates and failed reads where asked."""
-    kept = bases
+def coverage_at(pieces: DataFrame, places: DataFrame, dedup: bool = True, qc: bool = True) -> DataFrame:
+    """(contig, pos, sm, n): reads of each sample with an aligned base at a place, without duplicates and failed reads where asked.
+    pieces are the aligned stretches."""
+    kept = pieces
     if dedup:
         kept = kept.where(~F.col("duplicate"))
     if qc:
         kept = kept.where(~F.col("qcfail"))
-    return kept.join(places.select("contig", "pos").distinct(), ["contig", "pos"]).groupBy("contig", "pos", "sm").agg(F.count("*").alias("n"))
+    return B.bases_of(B.at_places(kept, places), "sm", "_tile").groupBy("contig", "_tile", "pos", "sm").agg(F.count("*").alias("n")).drop("_tile")
 
 
 def random_places(contigs: DataFrame, n: int, seed: int = 1) -> DataFrame:

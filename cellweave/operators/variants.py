@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from cellweave.functions import sequence as S
 
 
-def detected_alleles(calls: DataFrame, min_cells: int = 3) -> DataFrame:
+def detected_alleles(calls: DataFrame, min_cells: int = 3, *by: str) -> DataFrame:
     """(contig, pos, base, cells) of the bases that enough cells have; calls are molecules' (sm, contig, pos, base).
 
-    N and null are no bases. Cells are counted after one row a cell is left, so a deep cell is not a hot group."""
-    seen = calls.where("base <> 'N'").select("contig", "pos", "base", "sm").distinct()
-    return seen.groupBy("contig", "pos", "base").agg(F.count("sm").alias("cells")).where(F.col("cells") >= min_cells)
+    N and null are no bases. Cells are counted after one row a cell is left, so a deep cell is not a hot group. by names a column that
+    a position decides and that calls are dealt out by already."""
+    seen = calls.where("base <> 'N'").select(*by, "contig", "pos", "base", "sm").distinct()
+    return seen.groupBy(*by, "contig", "pos", "base").agg(F.count("sm").alias("cells")).where(F.col("cells") >= min_cells).drop(*by)
 
 
 def variant_support(bases: DataFrame, variants: DataFrame, min_reads: int = 2) -> DataFrame:
-    """(contig, pos, ref, alt, n_ref, n_alt, depth, supported) of every variant; without reads the counts are 0."""
+    """(contig, pos, ref, alt, n_ref, n_alt, depth, supported) of every variant; without reads the counts are 0.
+
+    Bases are counted before they are joined; those elsewhere are best left out before (bases.at_places)."""
     at = variants.select("contig", "pos", "ref", "alt").distinct()
-    hits = bases.join(at.select("contig", "pos").distinct(), ["contig", "pos"], "left_semi").groupBy("contig", "pos", "base").agg(F.count("*").alias("_n"))
+    by = ["_tile"] if "_tile" in bases.columns else []
+    hits = bases.groupBy("contig", *by, "pos", "base").agg(F.count("*").alias("_n")).drop(*by)
     of = lambda c: F.coalesce(F.sum(F.when(F.col("base") == F.col(c), F.col("_n"))), F.lit(0))
     out = at.join(hits, ["contig", "pos"], "left").groupBy("contig", "pos", "ref", "alt")
     return out.agg(of("ref").alias("n_ref"), of("alt").alias("n_alt"), F.coalesce(F.sum("_n"), F.lit(0)).alias("depth")).withColumn("supported", F.col("n_alt") >= min_reads)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellweave.operators import bases as B
 from cellweave.operators import library as L
 from cellweave.plans.registry import query
 from cellweave.plans.variation import _CALLS, _symbols, q
@@ -48,7 +49,7 @@ def pseudobulk_reads(spark, d):
     "sequenced", "genome",
 )
 def call_lines(spark, d):
-    calls = _symbols(spark, d, "read_index", "sm", "ds", "start_", "end_", "rx", "is_reverse", "mp")
+    calls = B.called_bases(_symbols(spark, d, "read_index", "sm", "ds", "start_", "end_", "rx", "mp"), "zZ", "read_index", "sm", "ds", "start_", "end_", "rx", "mp")
     strand = F.when(F.col("is_reverse"), "-").otherwise("+")
     return L.call_lines(calls.withColumns({"sample": F.col("sm"), "molecule": F.col("read_index"), "site": F.col("ds"), "length": F.col("end_") - F.col("start_"), "umi": F.col("rx"), "strand": strand, "motif": F.col("mp")}), contexts=["Z", "z"])
 

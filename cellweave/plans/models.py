@@ -23,7 +23,7 @@ def _places(spark, d):
     "sequenced", "features", "reads",
 )
 def mate_pileup(spark, d):
-    return pileup.mate_pileup(B.aligned_bases(view(spark, d, "sequenced"), "query_name"), view(spark, d, "reads"), _places(spark, d))
+    return pileup.mate_pileup(B.aligned_pieces(view(spark, d, "sequenced"), "query_name"), view(spark, d, "reads"), _places(spark, d))
 
 
 @q(
@@ -32,7 +32,7 @@ def mate_pileup(spark, d):
     "sequenced", "features",
 )
 def coverage_at_places(spark, d):
-    return pileup.coverage_at(B.aligned_bases(view(spark, d, "sequenced"), "sm", "duplicate", "qcfail"), _places(spark, d))
+    return pileup.coverage_at(B.aligned_pieces(view(spark, d, "sequenced"), "sm", "duplicate", "qcfail"), _places(spark, d))
 
 
 @q("region_bases", f"WITH {_WALK} SELECT sm, contig, pos, base, count(*) AS n FROM bases WHERE contig = 'chr2' AND pos >= 1000 AND pos < 5000 GROUP BY ALL", "sequenced")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import bases as B
 from cellweave.operators import reports as R
 from cellweave.operators import variants
-from cellweave.plans.variation import _CALLS, _WALK, _symbols, q
+from cellweave.plans.variation import _CALLS, _WALK, _placed, q
 from cellweave.plans.views import view
 
 
@@ -33,7 +33,8 @@ def tag_report(spark, d):
     "sequenced", "genome",
 )
 def context_totals(spark, d):
-    return R.context_totals(_symbols(spark, d, "sm", "is_read1", "duplicate", "qcfail"), "sm")
+    pieces = _placed(spark, d, "sm", "is_read1", "duplicate", "qcfail").where("is_read1 and not duplicate and not qcfail")
+    return B.symbol_counts(B.symbol_pieces(pieces), "sm", symbols=B.SYMBOLS)
 
 
 @q(
@@ -138,7 +139,8 @@ def allele_frequency(spark, d):
     "sequenced", "variants",
 )
 def heterozygous_variants(spark, d):
-    support = variants.variant_support(B.aligned_bases(view(spark, d, "sequenced")), view(spark, d, "variants"))
+    at = B.at_places(B.aligned_pieces(view(spark, d, "sequenced")), view(spark, d, "variants"))
+    support = variants.variant_support(B.bases_of(at, "_tile"), view(spark, d, "variants"))
     return R.heterozygous(support).select("contig", "pos", "ref", "alt", "n_alt", "depth")
 
 

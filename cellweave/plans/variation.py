@@ -31,9 +31,16 @@ def _bases(spark, d, *keep: str):
     return B.aligned_bases(view(spark, d, "sequenced"), *keep)
 
 
+def _pieces(spark, d, *keep: str):
+    return B.aligned_pieces(view(spark, d, "sequenced"), *keep)
+
+
+def _placed(spark, d, *keep: str):
+    return B.aligned_pieces(B.with_reference(view(spark, d, "sequenced"), B.reference_chunks(view(spark, d, "genome"))), *keep)
+
+
 def _symbols(spark, d, *keep: str):
-    reads = B.with_reference(view(spark, d, "sequenced"), B.reference_chunks(view(spark, d, "genome")))
-    return B.conversion_symbols(B.aligned_bases(reads, *keep))
+    return B.symbol_pieces(_placed(spark, d, *keep))
 
 
 # -- bases ------------------------------------------------------------------------------------------------------------
@@ -45,7 +52,10 @@ def _symbols(spark, d, *keep: str):
     "sequenced",
 )
 def base_observations(spark, d):
-    return B.observations(_bases(spark, d, "sm").where(B.usable(20, 2, 3)), "sm").withColumn("mean_qual", F.round("mean_qual", 6))
+    # Stretches are dealt out by place: bases of a place then meet without moving.
+    dealt = B.tiled(_pieces(spark, d, "sm")).repartition("sm", "contig", "_tile")
+    bases = B.bases_of(dealt, "sm", "_tile").where(B.usable(20, 2, 3))
+    return B.observations(bases, "sm", "_tile").drop("_tile").withColumn("mean_qual", F.round("mean_qual", 6))
 
 
 @q(
@@ -57,7 +67,7 @@ def base_observations(spark, d):
     "reads", "sequenced",
 )
 def dove_safe_bases(spark, d):
-    return B.dove_safe(_bases(spark, d, "sm", "query_name"), view(spark, d, "reads")).groupBy("sm").agg(F.count("*").alias("n"))
+    return B.safe_pieces(_pieces(spark, d, "sm", "query_name"), view(spark, d, "reads")).groupBy("sm").agg(F.sum("n").alias("n"))
 
 
 # -- conversion calls -------------------------------------------------------------------------------------------------
@@ -65,7 +75,7 @@ def dove_safe_bases(spark, d):
 
 @q("conversion_symbols", f"WITH {_CALLS} SELECT sm, symbol, count(*) AS n FROM symbols GROUP BY ALL", "sequenced", "genome")
 def conversion_symbols(spark, d):
-    return _symbols(spark, d, "sm").groupBy("sm", "symbol").agg(F.count("*").alias("n"))
+    return B.symbol_counts(_symbols(spark, d, "sm"), "sm")
 
 
 _SUMS = ", ".join(f"count(*) FILTER (symbol = '{s}') AS n_{s}_{'methylated' if s.isupper() else 'plain'}" for s in B.SYMBOLS)
@@ -85,7 +95,8 @@ def molecule_methylation(spark, d):
     "sequenced", "genome", "variants",
 )
 def methylation_bins(spark, d):
-    return B.binned_methylation(_symbols(spark, d, "sm"), 5000, "z", stranded=True, dyad=True, known=view(spark, d, "variants"))
+    unknown = B.at_places(_symbols(spark, d, "sm"), view(spark, d, "variants"), inside=False)
+    return B.binned_methylation(B.called_bases(unknown, "zZ", "sm"), 5000, "z", stranded=True, dyad=True)
 
 
 # -- variants ---------------------------------------------------------------------------------------------------------
@@ -93,7 +104,8 @@ def methylation_bins(spark, d):
 
 @q("detected_alleles", f"WITH {_WALK} SELECT contig, pos, base, count(DISTINCT sm) AS cells FROM bases GROUP BY contig, pos, base HAVING count(DISTINCT sm) >= 3", "sequenced")
 def detected_alleles(spark, d):
-    return variants.detected_alleles(_bases(spark, d, "sm"))
+    dealt = B.tiled(_pieces(spark, d, "sm")).repartition("contig", "_tile")
+    return variants.detected_alleles(B.bases_of(dealt, "sm", "_tile"), 3, "_tile")
 
 
 @q(
@@ -104,7 +116,8 @@ def detected_alleles(spark, d):
     "sequenced", "variants",
 )
 def variant_support(spark, d):
-    return variants.variant_support(_bases(spark, d), view(spark, d, "variants"))
+    at = B.at_places(_pieces(spark, d), view(spark, d, "variants"))
+    return variants.variant_support(B.bases_of(at, "_tile"), view(spark, d, "variants"))
 
 
 _FLIP = "CASE WHEN ref IN ('A', 'G') THEN translate({0}, 'ACGT', 'TGCA') ELSE {1} END"

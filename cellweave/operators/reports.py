@@ -75,18 +75,20 @@ def nearest_opposite(cuts: DataFrame, max_range: int, size: int = 1 << 18, posit
     sites = cuts.where(place.isNotNull() & F.col("sm").isNotNull()).select("sm", "contig", "is_reverse", place.alias("p")).distinct()
     both = sites.groupBy("sm", "contig").agg(F.sum(F.col("is_reverse").cast("int")).alias("_r"), F.count("*").alias("_n"))
     sites = sites.join(both.where("_r > 1 and _n - _r > 1").select("sm", "contig"), ["sm", "contig"], "left_semi")
+    places = sites.groupBy("sm", "contig", "p").agg(F.bool_or(~F.col("is_reverse")).alias("_f"), F.bool_or("is_reverse").alias("_r"))
     home = F.floor(F.col("p") / float(size))
     near = F.array_distinct(F.array(F.floor((F.col("p") - max_range) / float(size)), home, F.floor((F.col("p") + max_range) / float(size))))
-    rows = sites.withColumn("_home", home).withColumn("_cell", F.explode(near))
-    w = Window.partitionBy("sm", "contig", "_cell").orderBy("p")
-    up, down = w.rangeBetween(1, max_range - 1), w.rangeBetween(1 - max_range, -1)
-    of = lambda f, r, frame: f(F.when(F.col("is_reverse") == r, F.col("p"))).over(frame)
+    rows = places.withColumn("_home", home).withColumn("_cell", F.explode(near))
+    # Frames that only grow cost the same for every row, however many cuts lie within the range.
+    w = Window.partitionBy("sm", "contig", "_cell")
+    above, below = w.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1), w.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    of = lambda f, strand, frame: f(F.when(F.col(strand), F.col("p"))).over(frame)
     found = rows.withColumns({
-        "_fa": of(F.min, True, up) - F.col("p"), "_fb": F.col("p") - of(F.max, True, down),
-        "_ra": of(F.min, False, up) - F.col("p"), "_rb": F.col("p") - of(F.max, False, down),
+        "_fa": of(F.min, "_r", above) - F.col("p"), "_fb": F.col("p") - of(F.max, "_r", below),
+        "_ra": of(F.min, "_f", above) - F.col("p"), "_rb": F.col("p") - of(F.max, "_f", below),
     }).where("_cell = _home")
-    side = lambda name, r, c: F.when(F.col("is_reverse") == r, F.struct(F.lit(name).alias("kind"), F.col(c).alias("distance")))
-    kinds = F.array(side("forward_above", False, "_fa"), side("forward_below", False, "_fb"), side("reverse_above", True, "_ra"), side("reverse_below", True, "_rb"))
+    side = lambda name, strand, c: F.when(F.col(strand) & (F.col(c) < max_range), F.struct(F.lit(name).alias("kind"), F.col(c).alias("distance")))
+    kinds = F.array(side("forward_above", "_f", "_fa"), side("forward_below", "_f", "_fb"), side("reverse_above", "_r", "_ra"), side("reverse_below", "_r", "_rb"))
     return found.select(F.explode(kinds).alias("x")).select("x.*").where("distance is not null").groupBy("kind", "distance").agg(F.count("*").alias("n"))
 
 

@@ -23,11 +23,18 @@ def exact(fragments: DataFrame, *key: str) -> DataFrame:
 
 def near_groups(fragments: DataFrame, key: list[str], position: str, reach: int, end: str | None = None) -> DataFrame:
     """Adds session, the first position of a run of a key in which every fragment begins within reach of what came before.
-    Molecules never cross runs. Windows span tiles of the coordinate, so that a deep key is no single task."""
-    order = [position, "read_index"]
-    rows = running_max(fragments, "_reach", F.col(end or position), key, order, True)
+    Molecules never cross runs. Fragments of one position are of one run, so runs are sought among positions, in windows that span
+    tiles of the coordinate; fragments only join what was found."""
+    places = fragments.groupBy(*key, position).agg(F.max(F.col(end or position)).alias("_far"))
+    rows = running_max(places, "_reach", F.col("_far"), key, [position], True)
     opened = F.when(F.col("_reach").isNull() | (F.col(position) - F.col("_reach") > reach), F.col(position))
-    return running_max(rows, "session", opened, key, order, False).drop("_reach")
+    found = running_max(rows, "session", opened, key, [position], False)
+    names = [*key, position]
+    found = found.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(names)], "session")
+    on = F.lit(True)
+    for i, c in enumerate(names):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return fragments.join(found, on).drop(*[f"_g{i}" for i in range(len(names))])
 
 
 def umi_matches(a: str, b: str, most: int) -> bool:
@@ -58,16 +65,22 @@ def assign(
     )
 
     names = [*key, "session"]
+    # Molecules lie in buckets by the edges that a fragment may be near to: only those of its own bucket and the two beside it are asked.
+    width = radius + 1
 
     def run(batches):
         last, found = None, []
+        starts: dict[int, set[int]] = {}
+        ends: dict[int, set[int]] = {}
         for pdf in batches:
             rows = []
             for *k, p, e, u, r in pdf[[*names, "_p", "_e", "_u", "read_index"]].itertuples(index=False, name=None):
                 if k != last:
-                    last, found = k, []
+                    last, found, starts, ends = k, [], {}, {}
                 home, full = None, False
-                for m in found:
+                at, to = p // width, e // width
+                near_by = set().union(*(x.get(b + d, ()) for x, b in ((starts, at), (ends, to)) for d in (-1, 0, 1)))
+                for m in map(found.__getitem__, sorted(near_by)):
                     if pooling:
                         near = min(abs(p - m["low"]), abs(e - m["high"])) <= radius
                         ok = near and umi_matches(u, m["mode"], hamming)
@@ -78,9 +91,21 @@ def assign(
                         home = None if full else m
                         break
                 if home is None:
-                    home = {"id": r, "low": p, "high": e, "umis": {}, "mode": u, "members": set(), "n": 0}
+                    home = {"id": r, "low": p, "high": e, "umis": {}, "mode": u, "members": set(), "n": 0, "k": len(found)}
                     if not full:
                         found.append(home)
+                        starts.setdefault(at, set()).add(home["k"])
+                        ends.setdefault(to, set()).add(home["k"])
+                elif pooling:
+                    if p < home["low"] and at != home["low"] // width:
+                        starts[home["low"] // width].discard(home["k"])
+                        starts.setdefault(at, set()).add(home["k"])
+                    if e > home["high"] and to != home["high"] // width:
+                        ends[home["high"] // width].discard(home["k"])
+                        ends.setdefault(to, set()).add(home["k"])
+                else:
+                    starts.setdefault(at, set()).add(home["k"])
+                    ends.setdefault(to, set()).add(home["k"])
                 rows.append((r, home["id"], home["n"], full))
                 home["low"], home["high"], home["n"] = min(home["low"], p), max(home["high"], e), home["n"] + 1
                 home["umis"][u] = home["umis"].get(u, 0) + 1

@@ -58,6 +58,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, of: str, how: str = "left_semi", bits: int = 23) -> DataFrame:
+    """The rows whose key (a long, null too) may be among the wanted; those whose key is none of them stay as far as they share no
+    slot of a bitmap of 2**bits, which is all that is sent to them. With left_anti the other rows, none of whose keys is wanted."""
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
+    marks = wanted.select(slot(of).alias("_s")).selectExpr("shiftright(_s, 6) as _word", "shiftleft(1L, cast(_s & 63 as int)) as _mark").groupBy("_word").agg(F.bit_or("_mark").alias("_marks"))
+    on = (F.shiftright(slot(key), 6) == F.col("_word")) & (F.getbit("_marks", slot(key).bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return rows.join(F.broadcast(marks), on, how)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, root), root the smallest id.
 

@@ -3,7 +3,8 @@
 1. Every whole text becomes a set of shingle hashes; documents of equal sets are one class.
 2. Shingles are ordered (frequent ones last, then by hash). Two sets of the wanted similarity share a shingle among the
    first (1 - t) n + 1 of each, so the classes that share one of these form a block, and all pairs lie in blocks.
-   A block of a frequent shingle is dealt into tiles of two shards each.
+   A block of a frequent shingle is dealt into tiles of two neighbouring bands of set sizes each, beyond which no sets are
+   similar, and only what is still large into tiles of two shards each.
 3. In a block each class is a point, its shingle counts by hash group; an R-tree over the points prunes every pair of
    boxes, then of points, whose summed coordinate minima cannot reach the overlap. What survives connects candidates.
 4. The sets of connected candidates come together once (large components again in tiles), run through an R-tree of
@@ -21,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.arrow import PIECE_BYTES, map_batches, pieces, released, small_batches
-from cellweave.llm.frames import collect_garbage, components, cut, partitions, written
+from cellweave.llm.frames import collect_garbage, components, cut, drop, maybe_in, partitions, written
 from cellweave.llm.words import shingles, word_hashes
 
 #: Slots of the frequency sketch, as bits; members of a shard of a large block or component; children of a tree node.
 SKETCH_BITS = 20
 SHARD = 1024
 WAYS = 256
+#: Shards of a frequent shingle, by its count in the sketch, that one of its dealt parts stands for: its bands of sizes divide it further.
+SHARDS_A_WAY = 32
 FANOUT = 16
 LEAF = 32
 
@@ -197,6 +200,14 @@ def _tile(shard: int, shards: int) -> list[tuple[int, int]]:
     return [(min(shard, k), max(shard, k)) for k in range(shards)]
 
 
+def size_bands(ratio: Fraction) -> np.ndarray:
+    """The least sizes of bands: sets whose sizes are within ratio lie in one band or in two that follow one another."""
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(max(least[-1] * ratio.denominator // ratio.numerator, least[-1] * 11 // 10) + 1)
+    return np.array(least)
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Bounds of the runs of equal keys in sorted columns."""
     n = len(keys[0])
@@ -278,34 +289,42 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
     def describe(b: pa.RecordBatch):
         return map(described, pieces(b, 1))
 
-    seen = written(map_batches(docs, describe, "doc_id long, text_id binary, n long, key binary, prefix array<long>, vector binary"))
-    # A class has a number of its own and a head, the document whose text stands for it.
-    classes = cut(
-        seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_id")).alias("head"), F.count("*").alias("copies"))
-        .select("key", "rep", F.col("head.doc_id").alias("head_id"), F.col("head.text_id").alias("head_text"), "copies", F.monotonically_increasing_id().alias("class"))
+    described_docs = written(map_batches(docs, describe, "doc_id long, text_id binary, n long, key binary, prefix array<long>, vector binary"))
+    # A class has a number of its own, a head, the document whose text stands for it, and the description that its documents share.
+    heads = written(
+        described_docs.where("key is not null").groupBy("key").agg(
+            F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_id")).alias("head"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "prefix", "vector")]
+        ).select("key", "rep", F.col("head.doc_id").alias("head_id"), F.col("head.text_id").alias("head_text"), "copies", "n", "prefix", "vector", F.monotonically_increasing_id().alias("class"))
     )
-    # One row per class has its description: that of the document that stands for it.
-    heads = _heads(seen, classes)
+    classes = heads.select("key", "rep", "head_id", "head_text", "copies", "class")
+    # Descriptions are many times what the answer needs of a document, so they go as soon as the classes have them.
+    seen = written(described_docs.select("doc_id", "n", "key"))
+    drop(described_docs)
+    collect_garbage(spark)
+    least_sizes = size_bands(threshold)
 
-    # Blocks: which classes share a shingle. The tile of a frequent one is part of its key.
+    # Blocks: which classes share a shingle, with the bands of their sizes. For an ordinary shingle the tile is -1 less the band. A
+    # frequent one is dealt by bands: tile // 2 is a band and the shards of two members, tile % 2 tells those of the next band.
     def blocks(b: pa.RecordBatch):
-        ids, lists = b.column(0).to_numpy(), b.column(1)
+        ids, lists = b.column(0).to_numpy(), b.column(2)
         flat = lists.values.to_numpy().view(np.uint64)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-        who = np.repeat(ids, np.diff(lists.offsets.to_numpy()))
+        times = np.diff(lists.offsets.to_numpy())
+        who, band = np.repeat(ids, times), np.repeat(np.searchsorted(least_sizes, b.column(1).to_numpy(), "right") - 1, times)
         deal = level[(flat & slot_mask).astype(np.int64)].astype(int)
         plain = deal <= 1
-        yield {"token": flat[plain].view(np.int64), "tile": np.zeros(plain.sum(), np.int32), "class": who[plain]}
-        for k in np.unique(deal[~plain]):
-            at = deal == k
-            token, owner = flat[at].view(np.int64), who[at]
-            s = (owner.view(np.uint64) % np.uint64(k)).astype(np.int64)
-            together = max(1, PIECE_BYTES // (20 * len(s)))
-            for first in range(0, k, together):
-                other = np.arange(first, min(k, first + together))[:, None]
-                tile = (np.minimum(s, other) * k + np.maximum(s, other)).astype(np.int32)
-                yield {"token": np.tile(token, len(other)), "tile": tile.reshape(-1), "class": np.tile(owner, len(other))}
-
-    entries = map_batches(heads.select("class", "prefix"), blocks, "token long, tile int, class long")
+        yield {"token": flat[plain].view(np.int64), "tile": (-1 - band[plain]).astype(np.int32), "class": who[plain]}
+        for ways in np.unique(-(-deal[~plain] // SHARDS_A_WAY)):
+            at = ~plain & (-(-deal // SHARDS_A_WAY) == ways)
+            token, owner, own = flat[at].view(np.int64), who[at], band[at]
+            s = (owner.view(np.uint64) % np.uint64(ways)).astype(np.int64)
+            for other in range(ways):
+                two = np.minimum(s, other) * ways + np.maximum(s, other)
+                for upper in (0, 1):
+                    ok = own >= upper
+                    tile = (((own - upper) * ways * ways + two) * 2 + upper)[ok].astype(np.int32)
+                    yield {"token": token[ok], "tile": tile, "class": owner[ok]}
+
+    entries = map_batches(heads.select("class", "n", "prefix"), blocks, "token long, tile int, class long")
 
     def groups(batches):
         """The blocks of two classes or more, named by their members, so that blocks of the same members are one."""
@@ -313,40 +332,61 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
         if not t:
             return
         token, tile, who = (t[c].to_numpy() for c in ("token", "tile", "class"))
-        order = np.lexsort((who, tile, token))
-        token, tile, who = token[order], tile[order], who[order]
-        at = _runs(token, tile)
+        of, band = np.where(tile < 0, -1, tile >> 1), np.where(tile < 0, -1 - tile, tile & 1)
+        order = np.lexsort((who, band, of, token))
+        token, of, band, who = token[order], of[order], band[order], who[order]
+        # a block ends where a band of sizes is empty
+        chain = np.concatenate(([0], np.cumsum(np.diff(band) > 1))) if len(band) else band
+        at = _runs(token, of, chain)
         size = np.diff(at)
+        # what has only the upper of its two bands is whole in the tile of that band
+        size[(of[at[:-1]] >= 0) & (band[at[:-1]] > 0)] = 0
         mixed = who.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
-        name = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), at[:-1]) + size.astype(np.uint64)
+        mixed ^= mixed >> np.uint64(29)
+        name = np.add.reduceat(mixed, at[:-1]) + np.diff(at).astype(np.uint64)
         many = (size > 1) & (size <= large)
-        pick = np.repeat(many, size)
-        names, members = [np.repeat(name[many], size[many]).view(np.int64)], [who[pick]]
-        # a large block is dealt into tiles of two shards, each named by its members
+        pick = np.repeat(many, np.diff(at))
+        yield from named(np.repeat(name[many], size[many]), who[pick])
         for k in np.flatnonzero(size > large):
-            block, code = who[at[k] : at[k + 1]], mixed[at[k] : at[k + 1]]
-            ways = min(WAYS, -(-int(size[k]) // shard))
-            own = (code % np.uint64(ways)).astype(np.int64)
+            f, e = at[k], at[k + 1]
+            yield from dealt(who[f:e], mixed[f:e], band[f:e])
+
+    def named(names: np.ndarray, who: np.ndarray):
+        if not len(who):
+            return
+        names = names.view(np.int64)
+        order = np.lexsort((who, names))
+        names, who = names[order], who[order]
+        new = np.ones(len(who), bool)
+        new[1:] = (names[1:] != names[:-1]) | (who[1:] != who[:-1])
+        yield pa.RecordBatch.from_pydict({"block": names[new], "class": who[new]})
+
+    def dealt(block: np.ndarray, code: np.ndarray, band: np.ndarray):
+        """A large block by pairs of bands, which are in order; what is still large in tiles of two shards, each named by its members."""
+        firsts = np.searchsorted(band, np.unique(band))
+        for f in firsts:
+            e = int(np.searchsorted(band, band[f] + 1, "right"))
+            if f and e == np.searchsorted(band, band[f], "right") and band[f - 1] == band[f] - 1:
+                continue  # no band follows: this one was whole in the pair before
+            some, its = block[f:e], code[f:e]
+            if e - f <= large:
+                if e - f > 1:
+                    yield from named(np.full(e - f, its.sum() + np.uint64(e - f), np.uint64), some)
+                continue
+            ways = min(WAYS, -(-int(e - f) // shard))
+            own = (its % np.uint64(ways)).astype(np.int64)
             by = np.argsort(own, kind="stable")
-            block, code, own = block[by], code[by], np.searchsorted(own[by], np.arange(ways + 1))
-            code = code ^ (code >> np.uint64(29))
+            some, its, own = some[by], its[by], np.searchsorted(own[by], np.arange(ways + 1))
             for i in range(ways):
-                for j in range(i + 1, max(ways, i + 1)):
+                for j in range(i + 1, ways):
                     two = np.concatenate((np.arange(own[i], own[i + 1]), np.arange(own[j], own[j + 1])))
-                    names.append(np.full(len(two), code[two].sum() + np.uint64(len(two)), np.uint64).view(np.int64))
-                    members.append(block[two])
-        names, who = np.concatenate(names), np.concatenate(members)
-        if len(who):
-            order = np.lexsort((who, names))
-            names, who = names[order], who[order]
-            new = np.ones(len(who), bool)
-            new[1:] = (names[1:] != names[:-1]) | (who[1:] != who[:-1])
-            yield pa.RecordBatch.from_pydict({"block": names[new], "class": who[new]})
+                    yield from named(np.full(len(two), its[two].sum() + np.uint64(len(two)), np.uint64), some[two])
 
     parts, large = partitions(spark), 8 * shard
-    shared = entries.repartition(parts, "token", "tile").mapInArrow(released(groups), "block long, class long").distinct()
+    shared = cut(entries.repartition(parts, F.col("token"), F.when(F.col("tile") < 0, -1).otherwise(F.shiftright("tile", 1))).mapInArrow(released(groups), "block long, class long").distinct())
+    collect_garbage(spark)
     points = shared.join(heads.select("class", "n", "vector"), "class")
 
     # Sets of like size have vectors that differ in width by this factor at most (group_count rounds up, from n // 8 - 1).
@@ -381,7 +421,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
         if a_out:
             yield pa.RecordBatch.from_pydict({"a": np.array(a_out, np.int64), "b": np.array(b_out, np.int64)})
 
-    edges = points.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(released(connect), "a long, b long")
+    edges = cut(points.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(released(connect), "a long, b long"))
     collect_garbage(spark)
     candidate = components(edges)
     collect_garbage(spark)
@@ -389,8 +429,8 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
     # The sets of the candidates, each component together; a large one in tiles of two shards.
     sizes = candidate.groupBy("root").agg(F.count("*").alias("members"))
     members = candidate.join(sizes, "root").join(classes.select(F.col("class").alias("id"), "head_id", "head_text", "copies"), "id")
-    wanted = members.select(F.col("id").alias("class"), "head_id", "head_text", "copies", F.col("root"), F.ceil(F.col("members") / shard).cast("int").alias("shards"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_id") == F.col("head_text")))
+    wanted = cut(members.select(F.col("id").alias("class"), "head_id", "head_text", "copies", F.col("root"), F.ceil(F.col("members") / shard).cast("int").alias("shards")))
+    texts = maybe_in(docs, "doc_id", wanted, "head_id").join(wanted, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_id") == F.col("head_text")))
     loaded_here: set[int] = set()  # of a task: rows that repeat come once
 
     def load(b: pa.RecordBatch):
@@ -455,13 +495,6 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
     )
 
 
-def _heads(seen: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, n, prefix, vector), one row a class; documents of a class have the same."""
-    head = classes.select("class", F.col("key").alias("k"), "head_id", "head_text")
-    rows = seen.where("key is not null").join(head, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_id") == F.col("head_text")))
-    return rows.groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("vector").alias("vector"))
-
-
 def exact_links(sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray, ratio: Fraction) -> tuple[np.ndarray, Forest]:
     """For each set the copies of the sets it links with, and the forest of the links. Pairs of one shard count only where
     all sets are of that shard, so that over the tiles of a component every pair counts once."""
@@ -527,5 +560,8 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10))
     """The documents without those whose component has a smaller doc_id.
 
     Null ids and texts without words stay, rows that repeat an id stay or go together; an empty table stays empty."""
-    gone = jaccard_join(docs, n, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = cut(jaccard_join(docs, n, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    collect_garbage(docs.sparkSession)
+    # only texts that may go are moved to meet the ids
+    asked = maybe_in(docs, "doc_id", gone, "_gone")
+    return maybe_in(docs, "doc_id", gone, "_gone", "left_anti").unionByName(asked.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))

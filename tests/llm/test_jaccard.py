@@ -136,3 +136,44 @@ def test_groups_are_whole_and_few_at_once():
         assert sum(len(g) for g in groups) == len(set(key.tolist()))
         assert len(got) > 1
     assert list(jaccard._whole([], "a")) == []
+
+
+def test_members_of_frequent_shingles_are_copied_few_times(spark, monkeypatch):
+    """Copies of a member follow the bands of sizes that it meets, not the number of members; and nothing is lost."""
+    entries, made = [], jaccard.map_batches
+    monkeypatch.setattr(jaccard, "map_batches", lambda df, f, schema: entries.append((schema, made(df, f, schema))) or entries[-1][1])
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(120):
+        w = base[: int(rng.integers(20, 60))]
+        w[int(rng.integers(0, len(w)))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in jaccard.jaccard_join(docs, 4, Fraction(4, 5), shard=4, frequent=0.5).collect()}
+    assert got == brute(rows, 4, Fraction(4, 5))
+    copies = next(df for schema, df in entries if schema.startswith("token"))
+    most = {r["class"]: r.n for r in copies.groupBy("token", "class").count().groupBy("class").agg({"count": "max"}).toDF("class", "n").collect()}
+    assert max(most.values()) == 2
+
+
+def test_only_texts_that_are_asked_for_are_moved(spark):
+    """Of 2,000 rows a bitmap leaves the wanted and few others; null is a key, too."""
+    from cellweave.llm.frames import maybe_in
+
+    rows = spark.createDataFrame([(k,) for k in range(2000)] + [(None,)], "doc_id long")
+    wanted = spark.createDataFrame([(7,), (70,), (None,), (5000,)], "id long")
+    kept = {r.doc_id for r in maybe_in(rows, "doc_id", wanted, "id").collect()}
+    assert kept >= {7, 70, None} and len(kept) < 10
+    assert {r.doc_id for r in maybe_in(rows, "doc_id", wanted, "id", "left_anti").collect()} == set(range(2000)) - kept
+    assert {None, 7, 70} <= {r.doc_id for r in maybe_in(rows, "doc_id", wanted, "id", bits=1).collect()}
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()), key=repr) == sorted([(1, "a b c d e f"), (None, "a b c d e f"), (3, None)], key=repr)
+
+
+def test_sizes_within_the_ratio_share_or_follow_a_band():
+    for ratio in (Fraction(85, 100), Fraction(4, 5), Fraction(51, 100), Fraction(1)):
+        least = jaccard.size_bands(ratio)
+        for n in [*range(1, 3000), 10**6, 10**9 + 7]:
+            a, b = np.searchsorted(least, [n, n * ratio.denominator // ratio.numerator], "right")
+            assert b - a <= 1
